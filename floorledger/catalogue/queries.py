@@ -135,7 +135,7 @@ def sheet_reports(spark, sf_dir):
 
 @register
 def parse_dates(spark, sf_dir):
-    return dates.parse_day_first(view(spark, sf_dir, "date_cells"), Fecha="txt").select("k", "txt", "Fecha")
+    return view(spark, sf_dir, "date_cells").select("k", "txt", dates.parse_day_first(F.col("txt")).alias("Fecha"))
 
 
 @register

@@ -5,7 +5,9 @@ All results are zone-free (``TIMESTAMP_NTZ``), so the session time zone never sh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from floorledger import schema as S
@@ -29,7 +31,12 @@ _CLOCK = (
     r"(?:\s*([ap])\.?\s?(?:m\.?)?)?)?"
 )
 ISO = r"^\d{4}-(?:0\d|1[0-2])-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?$"
-# Each pattern is rewritten to: first | second | third | hour | minute | second | fraction | a/p
+# The common spelling, rewritten to ISO in one step.
+DAY_FIRST = (
+    r"^(0?[1-9]|[12]\d|3[01])[-/.](0?[1-9]|1[0-2])[-/.](\d{4})"
+    r"(?:[ T]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?))?$"
+)
+# Each of the others is rewritten to: first | second | third | hour | minute | second | fraction | a/p
 SPELLINGS = [
     (r"(?i)^(\d{1,4})([-/. ])(\d{1,2})\2(\d{1,4})" + _CLOCK + "$", "$1|$3|$4|$5|$6|$7|$8|$9"),
     (r"(?i)^(\d{1,2})[-/. ]+([a-z]{3,9})\.?[-/., ]+(\d{4}|\d{2})" + _CLOCK + "$", "$1|$2|$3|$4|$5|$6|$7|$8"),
@@ -41,15 +48,15 @@ SPELLINGS = [
 
 
 def _pieces(text: Column) -> Column:
-    """Split a non-ISO spelling into its eight parts; null when no spelling matches."""
+    """Split a spelling into its eight parts; null when no spelling matches."""
     rewritten = None
     for pattern, target in SPELLINGS:
         test, value = text.rlike(pattern), F.regexp_replace(text, pattern, target)
         rewritten = F.when(test, value) if rewritten is None else rewritten.when(test, value)
-    return F.when(~text.rlike(ISO), F.split(rewritten, r"\|", -1))
+    return F.split(rewritten, r"\|", -1)
 
 
-def _numbers(parts: Column) -> dict[str, Column]:
+def _numbers(parts: Column) -> Column:
     """The eight parts as numbers: ``lead`` is the day or month that stands apart from the year, ``mid``
     the one in the middle, which may be a month name."""
 
@@ -59,7 +66,7 @@ def _numbers(parts: Column) -> dict[str, Column]:
     months = F.create_map(*[F.lit(x) for pair in ENGLISH_MONTHS.items() for x in pair])
     year_first = F.length(part(0)) == 4
     year_text = F.when(year_first, part(0)).when(F.length(part(2)) != 3, part(2))
-    return {
+    fields = {
         "year_first": year_first,
         "lead": F.when(year_first, F.when(F.length(part(2)) <= 2, part(2))).otherwise(part(0)).try_cast("int"),
         "mid": F.coalesce(F.try_element_at(months, F.lower(part(1))), part(1).try_cast("int")),
@@ -68,9 +75,10 @@ def _numbers(parts: Column) -> dict[str, Column]:
         "rest": F.concat(F.lpad(part(4), 2, "0"), F.lit(":"), F.lpad(part(5), 2, "0"), part(6)),
         "half": F.lower(part(7)),
     }
+    return F.struct(*[value.alias(name) for name, value in fields.items()])
 
 
-def _iso_text(n: dict[str, Column]) -> Column:
+def _iso_text(n: Column) -> Column:
     """ISO text of the parts; null when a part is missing.
 
     Day-first, or month-first where only that reading is a date. With a leading year it is year, month,
@@ -97,39 +105,30 @@ def _iso_text(n: dict[str, Column]) -> Column:
     )
 
 
-def parse_day_first(df: DataFrame, **targets: str | Column) -> DataFrame:
-    """Add ``target=timestamp`` columns parsed from text columns.
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    ISO text (what the workbook reader emits for date cells) takes a direct cast. Other spellings are
-    matched once into parts and rebuilt as ISO text for the same cast. Each stage is its own projection,
-    so every pattern runs once per cell and the generated code stays small. Unreadable text gives null.
+def parse_day_first(text: Column) -> Column:
+    """Timestamp of a text cell; null when it cannot be read.
+
+    ISO text (what the workbook reader emits for date cells) takes a direct cast. Any other spelling is
+    matched once into parts and rebuilt as ISO text for the same cast. The steps are bound with lambdas
+    and not written as nested columns: repeated inside whole-stage code they make one method too large
+    for the JVM to compile, which runs several times slower.
     """
-    kept = [c for c in df.columns if c not in targets]
-    names = list(targets)
-    sources = [strip(F.col(s) if isinstance(s, str) else s) for s in targets.values()]
-    step = df.select(*kept, *[s.alias(f"__{t}_text") for t, s in zip(names, sources)])
-    step = step.select("*", *[_pieces(F.col(f"__{t}_text")).alias(f"__{t}_parts") for t in names])
-    step = step.select(
-        *kept,
-        *[f"__{t}_text" for t in names],
-        *[n.alias(f"__{t}_{part}") for t in names for part, n in _numbers(F.col(f"__{t}_parts")).items()],
-    )
-    rebuilt = {
-        t: _iso_text({p: F.col(f"__{t}_{p}") for p in ("year_first", "lead", "mid", "year", "hour", "rest", "half")})
-        for t in names
-    }
-    step = step.select(
-        *kept,
-        *[
-            F.when(F.col(f"__{t}_text").rlike(ISO), F.col(f"__{t}_text"))
-            .otherwise(rebuilt[t])
-            .try_cast("timestamp_ntz")
-            .alias(t)
-            for t in names
-        ],
-    )
     low, high = F.lit(EARLIEST).cast("timestamp_ntz"), F.lit(LATEST).cast("timestamp_ntz")
-    return step.select(*kept, *[F.when(F.col(t).between(low, high), F.col(t)).alias(t) for t in names])
+
+    def iso(cell: Column) -> Column:
+        other = _with(_pieces(cell), lambda parts: _with(_numbers(parts), _iso_text))
+        day_first = F.regexp_replace(cell, DAY_FIRST, "$3-$2-$1 $4")
+        return F.when(cell.rlike(ISO), cell).when(cell.rlike(DAY_FIRST), day_first).when(cell != "", other)
+
+    def moment(cell: Column) -> Column:
+        return _with(iso(cell).try_cast("timestamp_ntz"), lambda t: F.when(t.between(low, high), t))
+
+    return _with(strip(text), moment)
 
 
 def operating_day(moment: Column) -> Column:

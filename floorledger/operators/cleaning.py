@@ -25,8 +25,8 @@ def settle(df: DataFrame, *columns: str) -> DataFrame:
 
 def read_values(bound: DataFrame) -> DataFrame:
     """Text cells -> typed columns: two dates, two amounts, one machine column."""
-    dated = parse_day_first(bound, Fecha="Fecha", Jornada="Jornada").transform(settle, "Fecha", "Jornada")
-    return dated.withColumns(
+    parsed = {name: parse_day_first(F.col(name)) for name in ("Fecha", "Jornada")}
+    return bound.withColumns(parsed).transform(settle, *parsed).withColumns(
         {
             "Monto": parse_amount(F.col("Monto")),
             # 0 only when the sheet has no such column.
