@@ -42,7 +42,8 @@ SPELLINGS = [
     (r"(?i)^(\d{1,2})[-/. ]+([a-z]{3,9})\.?[-/., ]+(\d{4}|\d{2})" + _CLOCK + "$", "$1|$2|$3|$4|$5|$6|$7|$8"),
     (r"(?i)^([a-z]{3,9})\.?[-/ ]+(\d{1,2})[-/, ]+(\d{4})" + _CLOCK + "$", "$2|$1|$3|$4|$5|$6|$7|$8"),
     (r"^(\d{4})(\d{2})(\d{2})(?:[ T]?(\d{2})(\d{2})(\d{2})?)?$", "$1|$2|$3|$4|$5|$6||"),
-    (r"^(\d{4})(?:[-/](\d{1,2}))?$", "$1|$2|1|||||"),
+    (r"^(\d{4})[-/](\d{1,2})$", "$1|$2|1|||||"),
+    (r"^(\d{4})$", "$1|1|1|||||"),
     (r"^(\d{1,2})[-/](\d{4})$", "$2|$1|1|||||"),
 ]
 
