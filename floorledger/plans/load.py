@@ -70,9 +70,8 @@ def load_grid(
     latest = latest_upload_wins(batch, "upload")
     written = write_history(latest, root)
     if rollups:
-        for kind, rows in written.items():
-            if rows:
-                write_rollups(latest, root, kind)
+        for kind in written:
+            write_rollups(latest, root, kind)
     return LoadResult(written, errors)
 
 

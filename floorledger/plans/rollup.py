@@ -17,6 +17,12 @@ from floorledger.sources.history import replace_months
 PEOPLE_KEYS = ["Tipo", "Mes", "JornadaDia", "Hora", "Attendant", CLASS]
 MACHINE_KEYS = ["Tipo", "Mes", "Maquina", "Attendant", CLASS]
 PEOPLE_TABLE, MACHINE_TABLE = "rollup_people", "rollup_machines"
+PEOPLE_FIELDS = "Tipo string, JornadaDia date, Hora int, Attendant string, Categoria string"
+MACHINE_FIELDS = "Tipo string, Maquina string, Attendant string, Categoria string"
+FACT_FIELDS = (
+    "ops bigint, amt_units bigint, amt_cents bigint, amt_rest double, "
+    "first_moment timestamp_ntz, last_moment timestamp_ntz, Mes string"
+)
 
 
 def roll_up(df: DataFrame) -> FactSet:
@@ -27,19 +33,19 @@ def roll_up(df: DataFrame) -> FactSet:
     return FactSet(fold(facts, *PEOPLE_KEYS), fold(facts, *MACHINE_KEYS))
 
 
+def _path(root: str, table: str, kind: str) -> str:
+    return f"{root.rstrip('/')}/{table}_{kind.lower()}"
+
+
 def write_rollups(batch: DataFrame, root: str, kind: str) -> None:
     """Replace the rollup months that occur in ``batch``, which must hold those months whole."""
     rollups = roll_up(batch.where(F.col("Tipo") == kind))
-    for table, frame in ((PEOPLE_TABLE, rollups.people), (MACHINE_TABLE, rollups.machines)):
-        replace_months(frame.withColumnRenamed("Mes", "mes"), f"{root.rstrip('/')}/{table}_{kind.lower()}")
+    replace_months(rollups.people, _path(root, PEOPLE_TABLE, kind), "Mes")
+    replace_months(rollups.machines, _path(root, MACHINE_TABLE, kind), "Mes")
 
 
 def read_rollups(spark: SparkSession, root: str, kind: str) -> FactSet:
-    def read(table: str) -> DataFrame:
-        stored = spark.read.option("basePath", f"{root.rstrip('/')}/{table}_{kind.lower()}")
-        return stored.parquet(f"{root.rstrip('/')}/{table}_{kind.lower()}").select(
-            "*", F.col("mes").cast("string").alias("Mes")
-        ).drop("mes")
-
-    return FactSet(read(PEOPLE_TABLE), read(MACHINE_TABLE))
-
+    return FactSet(
+        spark.read.schema(f"{PEOPLE_FIELDS}, {FACT_FIELDS}").parquet(_path(root, PEOPLE_TABLE, kind)),
+        spark.read.schema(f"{MACHINE_FIELDS}, {FACT_FIELDS}").parquet(_path(root, MACHINE_TABLE, kind)),
+    )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorledger import schema as S
 from floorledger.operators.cleaning import NULL_TEXT
+from floorledger.operators.uploads import load_receipt
 
 TABLES = {S.GETNET: S.OPERATIONS_TABLE, S.PREMIOS: S.PRIZES_TABLE}
 TABLE_SCHEMAS = {S.GETNET: S.OPERATIONS_TABLE_SCHEMA, S.PREMIOS: S.PRIZES_TABLE_SCHEMA}
@@ -101,7 +102,7 @@ def read_history(spark: SparkSession, root: str, kind: str) -> DataFrame:
     return scan(stored.select(*fields.names), kind)
 
 
-def replace_months(stored: DataFrame, path: str) -> None:
+def replace_months(stored: DataFrame, path: str, month: str = "mes") -> None:
     """Replace, in the table at ``path``, every month that occurs in ``stored``; other months stay.
 
     One job: rows are rebalanced by month, which splits a large month over several tasks and files and
@@ -109,10 +110,10 @@ def replace_months(stored: DataFrame, path: str) -> None:
     table. Rows with the same month from an empty batch cannot exist, so an empty batch changes nothing.
     """
     (
-        stored.hint("rebalance", F.col("mes"))
+        stored.hint("rebalance", F.col(month))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("mes")
+        .partitionBy(month)
         .parquet(path)
     )
 
@@ -120,23 +121,16 @@ def replace_months(stored: DataFrame, path: str) -> None:
 def write_history(batch: DataFrame, root: str, null_text: str = NULL_TEXT) -> dict[str, int]:
     """Route a canonical batch by kind and replace its months; returns rows written per kind.
 
-    ``batch`` is scanned once per kind, so it should be a staged table partitioned by ``Tipo``.
-    Rows are counted while they are written.
+    ``batch`` is read once to count (narrow columns only) and once per kind that has rows, so it should
+    be a staged table partitioned by ``Tipo``.
     """
-    written = {}
-    for kind in TABLES:
+    written = {r["Tipo"]: r["rows"] for r in load_receipt(batch).collect()}
+    for kind in written:
         rows = batch.where(F.col("Tipo") == kind)
-        written[kind] = _counted_replace(store(rows, kind, null_text), table_path(root, kind))
+        replace_months(store(rows, kind, null_text), table_path(root, kind))
     return written
 
 
-def _counted_replace(stored: DataFrame, path: str) -> int:
-    seen = Observation()
-    counted = stored.observe(seen, F.count(F.lit(1)).alias("rows"))
-    replace_months(counted, path)
-    return seen.get.get("rows", 0)
-
-
 def receipt(written: dict[str, int]) -> tuple[int, str]:
     """Rows written and their kind, or ``(0, "No data")``."""
     total = sum(written.values())
