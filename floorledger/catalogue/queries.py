@@ -36,10 +36,15 @@ def register(make: Query) -> Query:
 
 
 def raw_batch(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Typed rows before cleaning, with the operating day derived from the moment."""
+    """Typed rows before cleaning, with the operating day derived from the moment.
+
+    The view computes moment and attendant; they are settled so that cleaning sees plain columns, as it
+    does on stored rows.
+    """
     name = "prizes_raw" if kind == S.PREMIOS else "ops_raw"
+    rows = view(spark, sf_dir, name).transform(cleaning.settle, "Fecha", "Attendant")
     jornada = dates.operating_day(F.col("Fecha")).cast("timestamp_ntz")
-    return view(spark, sf_dir, name).withColumns({"Tipo": F.lit(kind), "Jornada": jornada})
+    return rows.withColumns({"Tipo": F.lit(kind), "Jornada": jornada})
 
 
 def ops(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ class Dialect:
     def table(self, name: str) -> str:
         return f"{{{name}}}" if self.spark else name
 
-    def add_seconds(self, n: str) -> str:
-        return f"make_dt_interval(0,0,0,{n})" if self.spark else f"to_seconds({n})"
+    def add_seconds(self, t: str, n: str) -> str:
+        return f"timestampadd(SECOND, {n}, {t})" if self.spark else f"{t} + to_seconds({n})"
 
     def day10(self, t: str) -> str:
         return f"to_date({t} - interval 10 hours)" if self.spark else f"cast({t} - interval 10 hour as date)"
@@ -66,13 +66,13 @@ def definitions(d: Dialect) -> dict[str, str]:
     """View name -> SQL; each may use the ones before it."""
     views = {}
     views["ops_raw"] = f"""
-SELECT o_orderkey AS k, o_orderdate + {d.add_seconds("(o_orderkey*7919)%86400")} AS Fecha, o_totalprice AS Monto,
+SELECT o_orderkey AS k, {d.add_seconds("o_orderdate", "(o_orderkey*7919)%86400")} AS Fecha, o_totalprice AS Monto,
   CASE WHEN o_orderkey%40=0 THEN NULL ELSE concat('ATT_',cast(o_custkey%25 AS varchar(10))) END AS Attendant,
   cast(o_custkey AS varchar(20)) AS IdCliente, concat('V',cast(o_orderkey AS varchar(20))) AS Voucher,
   o_orderstatus AS Validador, o_orderpriority AS FormaPago, o_orderkey%3 AS upload_seq
 FROM {d.table("orders")}"""
     views["prizes_raw"] = f"""
-SELECT l_orderkey AS k, l_shipdate + {d.add_seconds("(l_orderkey*7919+l_linenumber*3571)%86400")} AS Fecha,
+SELECT l_orderkey AS k, {d.add_seconds("l_shipdate", "(l_orderkey*7919+l_linenumber*3571)%86400")} AS Fecha,
   l_extendedprice AS Monto, l_tax AS Propina, concat('ATT_',cast(l_suppkey%25 AS varchar(10))) AS Attendant,
   CASE WHEN l_partkey%97=0 THEN NULL ELSE concat('MDA_',cast(l_partkey%50 AS varchar(10))) END AS Maquina,
   CASE l_linenumber WHEN 1 THEN 'Jackpot HP' WHEN 2 THEN ' progresive jackpot hp ' WHEN 3 THEN 'PROGRESSIVE JACKPOT HP'

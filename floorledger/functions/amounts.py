@@ -17,8 +17,8 @@ from floorledger.functions.text import ASCII_SPACE, strip
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 INFINITE = r"(?i)^[+-]?inf(?:inity)?$"
 
-# Below this, cents are exact in a double.
-LARGEST_EXACT = 9.0e13
+# Below this many cents, a double holds every cent.
+EXACT_CENTS = 9.0e15
 
 UNITS, CENTS, REST = "amt_units", "amt_cents", "amt_rest"
 PARTS = [UNITS, CENTS, REST]
@@ -40,14 +40,13 @@ def clean_amount(number: Column) -> Column:
 
 def amount_parts(amount: Column) -> list[Column]:
     """Columns ``amt_units``, ``amt_cents``, ``amt_rest`` of one amount."""
-    small = F.abs(amount) < LARGEST_EXACT
-    cents = F.when(small, F.rint(amount * 100).cast("bigint"))
-    exact = cents / F.lit(100.0) == amount
+    cents = F.rint(amount * 100)
+    exact = (cents / F.lit(100.0) == amount) & (F.abs(cents) < EXACT_CENTS)
     units = F.floor(cents / F.lit(100.0))
     return [
         F.when(exact, units).alias(UNITS),
-        F.when(exact, cents - units * 100).alias(CENTS),
-        F.when(~F.coalesce(exact, F.lit(False)), amount).alias(REST),
+        F.when(exact, cents.cast("bigint") - units * 100).alias(CENTS),
+        F.when(~exact, amount).alias(REST),
     ]
 
 

@@ -22,12 +22,9 @@ def strip(text: Column, characters: str = UNICODE_SPACE) -> Column:
 
 def payment_class(payment: Column) -> Column:
     """Payment type -> one of the four classes, null when it is none of them."""
-    normal = strip(F.lower(payment))
-    result = None
-    for name, spellings in S.PAYMENT_CLASSES.items():
-        test = normal.isin(spellings)
-        result = F.when(test, F.lit(name)) if result is None else result.when(test, F.lit(name))
-    return result
+    spellings = [(spelling, name) for name, group in S.PAYMENT_CLASSES.items() for spelling in group]
+    classes = F.create_map(*[F.lit(text) for pair in spellings for text in pair])
+    return F.try_element_at(classes, strip(F.lower(payment)))
 
 
 def month_label(month: Column) -> Column:

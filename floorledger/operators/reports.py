@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from floorledger import schema as S
 from floorledger.functions.amounts import sum_amount
 from floorledger.functions.text import month_label, timestamp_text
-from floorledger.operators.facts import CLASS, FIRST, LAST, OPS, as_facts, count_ops
+from floorledger.operators.cleaning import settle
+from floorledger.operators.facts import CLASS, FIRST, LAST, as_facts, count_ops, is_facts
 
 CLASSES = list(S.PAYMENT_CLASSES)
 
@@ -32,7 +33,9 @@ def _class_counts() -> list[Column]:
 
 
 def classified(df: DataFrame) -> DataFrame:
-    return as_facts(df).where(F.col(CLASS).isNotNull())
+    """Facts with a payment class; the class of raw rows is worked out once, for filter and counts."""
+    facts = as_facts(df) if is_facts(df) else as_facts(df).transform(settle, CLASS)
+    return facts.where(F.col(CLASS).isNotNull())
 
 
 def monthly_summary(df: DataFrame) -> DataFrame:
