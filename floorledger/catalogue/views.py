@@ -15,7 +15,7 @@ class Dialect:
         return f"{{{name}}}" if self.spark else name
 
     def add_seconds(self, t: str, n: str) -> str:
-        return f"timestampadd(SECOND, {n}, {t})" if self.spark else f"{t} + to_seconds({n})"
+        return f"{t} + INTERVAL '1' SECOND * ({n})" if self.spark else f"{t} + to_seconds({n})"
 
     def day10(self, t: str) -> str:
         return f"to_date({t} - interval 10 hours)" if self.spark else f"cast({t} - interval 10 hour as date)"
@@ -24,19 +24,19 @@ class Dialect:
         return f"date_format({t}, '{spark_pattern}')" if self.spark else f"strftime({t}, '{other_pattern}')"
 
     def month(self, d: str) -> str:
-        return self.fmt(d, "yyyy-MM", "%Y-%m")
+        return f"left(cast({d} AS string), 7)" if self.spark else self.fmt(d, "", "%Y-%m")
 
     def day_text(self, d: str) -> str:
-        return self.fmt(d, "yyyy-MM-dd", "%Y-%m-%d")
+        return f"cast({d} AS string)" if self.spark else self.fmt(d, "", "%Y-%m-%d")
 
     def iso(self, t: str) -> str:
-        return self.fmt(t, "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S")
+        return f"cast({t} AS string)" if self.spark else self.fmt(t, "", "%Y-%m-%d %H:%M:%S")
 
-    def slashes(self, t: str) -> str:
-        return self.fmt(t, "dd/MM/yyyy HH:mm:ss", "%d/%m/%Y %H:%M:%S")
-
-    def dashes(self, t: str) -> str:
-        return self.fmt(t, "dd-MM-yyyy HH:mm:ss", "%d-%m-%Y %H:%M:%S")
+    def day_first(self, t: str, mark: str) -> str:
+        if not self.spark:
+            return self.fmt(t, "", f"%d{mark}%m{mark}%Y %H:%M:%S")
+        text = f"cast({t} AS string)"
+        return f"concat(substr({text},9,2),'{mark}',substr({text},6,2),'{mark}',left({text},4),substr({text},11))"
 
     def array(self, *items: str) -> str:
         return f"array({', '.join(items)})" if self.spark else f"[{', '.join(items)}]"
@@ -85,21 +85,21 @@ SELECT *, {d.day10("Fecha")} AS JornadaDia, {d.month(d.day10("Fecha"))} AS Mes,
 FROM {name}_raw WHERE Attendant IS NOT NULL AND hour(Fecha) <> 9"""
     views["ops_cells"] = f"""
 SELECT k, k%4 AS file_no,
-  CASE k%3 WHEN 0 THEN {d.iso("Fecha")} WHEN 1 THEN {d.slashes("Fecha")} ELSE {d.dashes("Fecha")} END AS fecha_txt,
+  CASE k%3 WHEN 0 THEN {d.iso("Fecha")} WHEN 1 THEN {d.day_first("Fecha", "/")} ELSE {d.day_first("Fecha", "-")} END AS fecha_txt,
   {d.day_text(d.day10("Fecha"))} AS jornada_txt,
   CASE WHEN k%50=7 THEN 'N/A' WHEN k%50=8 THEN NULL ELSE cast(cast(Monto AS decimal(18,2)) AS varchar(30)) END AS monto_txt,
   Attendant, IdCliente, Voucher, Validador, FormaPago
 FROM ops_raw"""
     views["prize_cells"] = f"""
 SELECT k, k%3 AS file_no,
-  CASE k%2 WHEN 0 THEN {d.iso("Fecha")} ELSE {d.slashes("Fecha")} END AS fecha_txt,
+  CASE k%2 WHEN 0 THEN {d.iso("Fecha")} ELSE {d.day_first("Fecha", "/")} END AS fecha_txt,
   {d.day_text(d.day10("Fecha"))} AS jornada_txt,
   cast(cast(Monto AS decimal(18,2)) AS varchar(30)) AS monto_txt,
   cast(cast(Propina AS decimal(18,2)) AS varchar(30)) AS propina_txt,
   Attendant, FormaPago, IdCliente, Maquina
 FROM prizes_raw"""
     views["date_cells"] = f"""
-SELECT k, CASE k%10 WHEN 0 THEN {d.iso("Fecha")} WHEN 1 THEN {d.slashes("Fecha")} WHEN 2 THEN {d.dashes("Fecha")}
+SELECT k, CASE k%10 WHEN 0 THEN {d.iso("Fecha")} WHEN 1 THEN {d.day_first("Fecha", "/")} WHEN 2 THEN {d.day_first("Fecha", "-")}
   WHEN 3 THEN {d.fmt("Fecha", "dd.MM.yyyy HH:mm:ss", "%d.%m.%Y %H:%M:%S")}
   WHEN 4 THEN {d.fmt("Fecha", "yyyy/MM/dd HH:mm", "%Y/%m/%d %H:%M")}
   WHEN 5 THEN {d.fmt("Fecha", "d MMM yyyy HH:mm", "%-d %b %Y %H:%M")}
