@@ -31,7 +31,9 @@ def filter_attendants(df: DataFrame, selection: Selection = None) -> DataFrame:
         return df
     if isinstance(selection, DataFrame):
         names = selection.select("Attendant").where(F.col("Attendant").isNotNull()).distinct()
-        return df if names.isEmpty() else lookup_join(df, names, ["Attendant"], "left_semi")
+        if names.isEmpty():
+            return df
+        return lookup_join(df, names, ["Attendant"], "left_semi")
     names = list(dict.fromkeys(selection))
     return df.where(F.col("Attendant").isin(names)) if names else df
 

@@ -41,9 +41,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     private to one machine, so an unset value is an error there.
     """
     context = spark.sparkContext
-    current = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if current:
-        return current
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    active = context.getCheckpointDir()
+    if named:
+        if not active:
+            context.setCheckpointDir(named)
+        return named
+    if active:
+        return active
     if not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is not set; name a folder all executors share")
     folder = tempfile.mkdtemp(prefix="floorledger-checkpoint-")

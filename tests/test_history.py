@@ -10,7 +10,7 @@ from floorledger.operators.uploads import latest_upload_wins
 from floorledger.plans.load import load_folder
 from floorledger.plans.report_set import generate_reports
 from floorledger.plans.rollup import read_rollups, write_rollups
-from floorledger.sources.history import create_tables, read_history, receipt, table_path, write_history
+from floorledger.sources.history import create_tables, read_history, receipt, replace_months, write_history
 from floorledger.streaming.drop_folder import follow_batches, follow_folder
 from workbooks import write_workbook
 
@@ -71,8 +71,6 @@ def test_kinds_go_to_their_own_tables(spark, tmp_path):
 
 def test_a_large_month_is_written_in_several_files(spark, tmp_path):
     rows = spark.range(0, 200_000).select(F.lit("2024-01").alias("mes"), F.sha2(F.col("id").cast("string"), 256).alias("t"))
-    from floorledger.sources.history import replace_months
-
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     try:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
