@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -24,6 +25,7 @@ HEADLINE = [
     "monthly_summary_prizes", "attendant_record_prizes", "op_count_prizes", "annual_prizes", "mda_month", "mda_total",
     "mda_grouping_sets", "attendant_filter", "attendant_filter_table", "stored_ops", "history_prizes",
     "latest_upload_wins", "parse_dates", "header_detect", "canonical_ops", "rollup_machines", "chart_hour",
+    "sheet_reports", "canonical_prizes", "header_names", "report_manifest_prizes",
 ]
 
 
@@ -36,7 +38,8 @@ def timed(query, spark, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
+    shared = {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-")}
+    spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, **shared)
     names = sys.argv[1:] or HEADLINE
     names = list(QUERIES) if names == ["all"] else names
     spark.range(1000).selectExpr("sum(id)").collect()

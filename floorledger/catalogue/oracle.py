@@ -10,6 +10,7 @@ MONTHS = (
     "['Enero','Febrero','Marzo','Abril','Mayo','Junio',"
     "'Julio','Agosto','Septiembre','Octubre','Noviembre','Diciembre']"
 )
+# Hours of an operating day.
 HOURS = "unnest([10,11,12,13,14,15,16,17,18,19,20,21,22,23,0,1,2,3,4,5,6,7,8])"
 
 
@@ -26,6 +27,12 @@ def number(alias: str = "Operaciones") -> str:
     return f"cast(count(*) AS bigint) AS {alias}"
 
 
+# Text that stands for a missing value in a sheet.
+MISSING = (
+    "'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', "
+    "'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'"
+)
+# Payment types and their classes.
 CLASS = """CASE lower(trim(FormaPago)) WHEN 'jackpot hp' THEN 'Premios' WHEN 'progresive jackpot hp' THEN 'Premios'
   WHEN 'progressive jackpot hp' THEN 'Premios' WHEN 'mdc purse clear' THEN 'MDC purse clear'
   WHEN 'cancel credit' THEN 'Cancel Credit' WHEN 'chip cash handpay' THEN 'Chip Cash HandPay' END"""
@@ -106,7 +113,8 @@ named AS (SELECT h.*, list_transform(g.cells, lambda c: trim(c)) AS names FROM h
   JOIN grid g ON g.path = h.path AND g.sheet = h.sheet AND g.row_idx = h.header_row),
 kinds AS (SELECT *, CASE WHEN list_has_all(names, ['Transferencia Final','Slot Attendant']) THEN 'PREMIOS' ELSE 'GETNET' END AS Tipo
   FROM named),
-data AS (SELECT k.path, k.Tipo, k.names, g.row_idx, g.cells FROM kinds k
+data AS (SELECT k.path, k.Tipo, k.names, g.row_idx,
+  list_transform(g.cells, lambda c: CASE WHEN c NOT IN (""" + MISSING + """) THEN c END) AS cells FROM kinds k
   JOIN grid g ON g.path = k.path AND g.sheet = k.sheet AND g.row_idx > k.header_row)"""
 
 
@@ -165,12 +173,15 @@ def scanned(stored: str, kind: str, maquina: str = "") -> str:
   cast(jornada AS date) AS JornadaDia, '{kind}' AS Tipo FROM ({stored}) s"""
 
 
-def manifest(names: list[tuple[str, str]], source_views: str, extra: str = "") -> str:
-    rows = "\nUNION ALL\n".join(
+def manifest_rows(names: list[tuple[str, str]]) -> str:
+    return "\nUNION ALL\n".join(
         f"SELECT {i} AS ord, '{name}' AS name, left('{name}', 31) AS sheet, cast(count(*) AS bigint) AS rows FROM ({body}) r{i}"
         for i, (name, body) in enumerate(names)
     )
-    return select(rows, source_views, extra=extra)
+
+
+def manifest(names: list[tuple[str, str]], source_views: str, extra: str = "") -> str:
+    return select(manifest_rows(names), source_views, extra=extra)
 
 
 def distinct(columns: str, source: str, where: str = "TRUE") -> str:
@@ -219,7 +230,7 @@ def build() -> dict[str, str]:
             "grid", FOUND, BOUND,
         ),
         "header_names": sheets(
-            """SELECT path, name, cast(count(*) AS bigint) AS cells, cast(count(value) AS bigint) AS filled, max(value) AS largest
+            """SELECT path, name, cast(count(*) AS bigint) AS cells, cast(count(value) AS bigint) AS filled, cast(max(length(value)) AS integer) AS longest
 FROM (SELECT path, unnest(names) AS name, unnest(list_transform(range(1, len(names) + 1), lambda i: cells[i])) AS value FROM data) c
 GROUP BY path, name""",
             "grid", FOUND,
@@ -239,6 +250,14 @@ FROM canon GROUP BY path, JornadaDia""",
         "sheet_reports": sheets(
             f"SELECT Tipo, Mes, {number()}, {money()} FROM canon GROUP BY Tipo, Mes", "grid", FOUND, BOUND, CANON
         ),
+        "routed_rows": sheets(
+            f"SELECT path, CASE Tipo WHEN 'PREMIOS' THEN 'premios' ELSE 'operaciones' END AS target, {number('rows')} FROM canon GROUP BY path, Tipo",
+            "grid", FOUND, BOUND, CANON,
+        ),
+        "sheet_manifest": sheets(
+            manifest_rows(MANIFEST_PRIZES), "prizes_grid", FOUND, BOUND, CANON,
+            f"prizes AS (SELECT * FROM canon), {CLASSIFIED}",
+        ),
         # values
         "parse_dates": select(
             "SELECT k, txt, coalesce(" + ", ".join(f"try_strptime(txt, '{f}')" for f in DAY_FIRST) + ") AS Fecha FROM date_cells",
@@ -273,6 +292,16 @@ UNION ALL SELECT 'att', Attendant, {number()} FROM ops WHERE {IN_SELECTED} GROUP
         ),
         "filtered_monthly": select(monthly("ops", IN_SELECTED), "ops"),
         "exempt_machines": prize_sql(MACHINE_TOTAL),
+        "report_selection": select(
+            manifest_rows([r for r in MANIFEST_OPS if r[0] in ("Resumen Mensual", "Conteo Total Anual", "QA")]), "ops"
+        ),
+        "selection_rule": "SELECT unnest(['nothing','empty list','everyone','some','everyone and more']) AS chosen, "
+        "unnest([true,true,true,false,false]) AS unfiltered",
+        "download_override": select(
+            f"""SELECT 'file' AS mode, Attendant, {number()} FROM ops WHERE Attendant = 'ATT_2' GROUP BY Attendant
+UNION ALL SELECT 'history', Attendant, {number()} FROM ops WHERE {IN_SELECTED} GROUP BY Attendant""",
+            "ops",
+        ),
         "empty_input": select(
             f"""SELECT unnest(['filas_usadas','min_fecha','max_fecha','horas_presentes']) AS name,
   unnest([cast(count(*) AS varchar), coalesce(cast(min(Fecha) AS varchar),'NaT'), coalesce(cast(max(Fecha) AS varchar),'NaT'),
@@ -337,8 +366,8 @@ FROM classified WHERE Maquina IS NOT NULL GROUP BY Mes, Maquina"""
             extra=f"classified AS (SELECT * REPLACE (coalesce(Maquina,'nan') AS Maquina), {CLASS} AS Categoria FROM prizes)",
         ),
         "latest_upload_wins": select(
-            """SELECT k, 'GETNET' AS Tipo, Mes, upload_seq, Monto FROM
-(SELECT *, max(upload_seq) OVER (PARTITION BY Mes) AS latest FROM ops) o WHERE upload_seq = latest""",
+            """SELECT k, 'GETNET' AS Tipo, Mes, seq AS upload_seq, Monto FROM (SELECT *, max(coalesce(seq, -1)) OVER (PARTITION BY Mes) AS latest
+FROM (SELECT *, CASE WHEN Mes >= '1996' THEN nullif(upload_seq, 0) END AS seq FROM ops) n) o WHERE coalesce(seq, -1) = latest""",
             "ops",
         ),
         "load_receipt": select(

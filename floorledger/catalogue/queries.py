@@ -11,13 +11,13 @@ from floorledger import schema as S
 from floorledger.catalogue.views import view
 from floorledger.functions import amounts, dates, text
 from floorledger.operators import cleaning, facts, headers, reports, selection, uploads
-from floorledger.plans.load import clean_grid
+from floorledger.plans.load import clean_grid, work_folder
 from floorledger.plans.publish import chart_json, hour_chart, manifest, month_chart
 from floorledger.plans.report_set import generate_reports, prepare_reports
-from floorledger.plans.rollup import roll_up
+from floorledger.plans.rollup import report_bundle, stage_facts
 from floorledger.session import cut_lineage
 from floorledger.sources import history
-from floorledger.sources.grid import pick_sheet
+from floorledger.sources.grid import pick_sheet, stage_grid
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,8 +60,12 @@ def raw_grid(spark: SparkSession, sf_dir: str, name: str = "grid") -> DataFrame:
     return view(spark, sf_dir, name).withColumns(extra).select(*S.GRID_SCHEMA.names)
 
 
+def staged_grid(spark: SparkSession, sf_dir: str, name: str = "grid") -> DataFrame:
+    return stage_grid(raw_grid(spark, sf_dir, name), f"{work_folder(spark)}/grid")
+
+
 def canonical(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return clean_grid(raw_grid(spark, sf_dir, name))[0]
+    return clean_grid(staged_grid(spark, sf_dir, name))[0]
 
 
 # --- sheets ---------------------------------------------------------------------------------------
@@ -92,7 +96,7 @@ def header_names(spark, sf_dir):
     rows = headers.named_cells(sheets, cut_lineage(headers.detect_headers(sheets)))
     pairs = rows.select("path", F.explode("fields").alias("name", "value"))
     return pairs.groupBy("path", "name").agg(
-        F.count(F.lit(1)).alias("cells"), F.count("value").alias("filled"), F.max("value").alias("largest")
+        F.count(F.lit(1)).alias("cells"), F.count("value").alias("filled"), F.max(F.length("value")).alias("longest")
     )
 
 
@@ -135,6 +139,20 @@ def sheet_reports(spark, sf_dir):
     )
 
 
+@register
+def routed_rows(spark, sf_dir):
+    """Rows of every workbook of the grid by the history table they go to."""
+    batch = canonical(spark, sf_dir, "grid")
+    target = F.element_at(F.create_map(*[F.lit(x) for pair in history.TABLES.items() for x in pair]), F.col("Tipo"))
+    return batch.groupBy("path", target.alias("target")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register
+def sheet_manifest(spark, sf_dir):
+    """Raw grid to report set: the prize sheets' rows cleaned once, then every report of their kind."""
+    return manifest(report_bundle(cut_lineage(canonical(spark, sf_dir, "prizes_grid")), S.PREMIOS))
+
+
 # --- values ---------------------------------------------------------------------------------------
 
 
@@ -218,6 +236,35 @@ def exempt_machines(spark, sf_dir):
     return prepare_reports(prizes(spark, sf_dir), S.PREMIOS, SELECTED, mode="file")[S.MACHINE_TOTAL]
 
 
+@register
+def report_selection(spark, sf_dir):
+    """Named reports in bundle order, whatever order they are asked for in; unknown names give nothing."""
+    wanted = [S.QA, S.ANNUAL_TOTAL, "No such report", S.MONTHLY_SUMMARY]
+    return manifest(prepare_reports(ops(spark, sf_dir), S.GETNET, names=wanted))
+
+
+@register
+def selection_rule(spark, sf_dir):
+    """Which selections count as no filter: nothing, and exactly the attendants there are."""
+    batch = ops(spark, sf_dir)
+    everyone = selection.attendants(batch)
+    more = everyone.unionByName(spark.createDataFrame([(NOBODY[0],)], "Attendant string"))
+    cases = {"nothing": None, "empty list": [], "everyone": everyone, "some": SELECTED, "everyone and more": more}
+    answers = [(name, selection.covers_everyone(batch, chosen)) for name, chosen in cases.items()]
+    return spark.createDataFrame(answers, "chosen string, unfiltered boolean")
+
+
+@register
+def download_override(spark, sf_dir):
+    """A selection sent with a download replaces the stored one in file mode and is ignored in history mode."""
+    batch, sent = ops(spark, sf_dir), ["ATT_2"]
+    parts = []
+    for mode in ("file", "history"):
+        shown = prepare_reports(batch, S.GETNET, SELECTED, mode=mode, override=sent)[S.ANNUAL_TOTAL]
+        parts.append(shown.select(F.lit(mode).alias("mode"), "Attendant", "Operaciones"))
+    return parts[0].unionByName(parts[1])
+
+
 @register
 def empty_input(spark, sf_dir):
     """A filter that no row passes: metrics and hours still have their rows."""
@@ -376,7 +423,9 @@ def history_machines(spark, sf_dir):
 
 @register
 def latest_upload_wins(spark, sf_dir):
-    kept = uploads.latest_upload_wins(ops(spark, sf_dir))
+    """Some uploads have no number: they are the oldest, and supply the months that only they contain."""
+    number = F.when(F.col("Mes") >= "1996", F.nullif("upload_seq", F.lit(0)))
+    kept = uploads.latest_upload_wins(ops(spark, sf_dir).withColumn("upload_seq", number))
     return kept.select("k", "Tipo", "Mes", "upload_seq", "Monto")
 
 
@@ -391,32 +440,32 @@ def load_receipt(spark, sf_dir):
 
 @register
 def rollup_monthly(spark, sf_dir):
-    return reports.monthly_summary(roll_up(ops(spark, sf_dir)).people)
+    return reports.monthly_summary(stage_facts(ops(spark, sf_dir), S.GETNET).people)
 
 
 @register
 def rollup_record(spark, sf_dir):
-    return reports.attendant_record(roll_up(prizes(spark, sf_dir)).people)
+    return reports.attendant_record(stage_facts(prizes(spark, sf_dir), S.PREMIOS).people)
 
 
 @register
 def rollup_machines(spark, sf_dir):
-    return reports.machine_month(roll_up(prizes(spark, sf_dir)).machines)
+    return reports.machine_month(stage_facts(prizes(spark, sf_dir), S.PREMIOS).machines)
 
 
 @register
 def rollup_qa(spark, sf_dir):
-    return reports.quality(roll_up(prizes(spark, sf_dir)).people)
+    return reports.quality(stage_facts(prizes(spark, sf_dir), S.PREMIOS).people)
 
 
 @register
 def report_manifest(spark, sf_dir):
-    return manifest(generate_reports(ops(spark, sf_dir), S.GETNET))
+    return manifest(report_bundle(ops(spark, sf_dir), S.GETNET))
 
 
 @register
 def report_manifest_prizes(spark, sf_dir):
-    return manifest(generate_reports(prizes(spark, sf_dir), S.PREMIOS))
+    return manifest(report_bundle(prizes(spark, sf_dir), S.PREMIOS))
 
 
 @register

@@ -88,7 +88,7 @@ SELECT k, k%4 AS file_no,
   CASE k%3 WHEN 0 THEN {d.iso("Fecha")} WHEN 1 THEN {d.day_first("Fecha", "/")} ELSE {d.day_first("Fecha", "-")} END AS fecha_txt,
   {d.day_text(d.day10("Fecha"))} AS jornada_txt,
   CASE WHEN k%50=7 THEN 'N/A' WHEN k%50=8 THEN NULL ELSE cast(cast(Monto AS decimal(18,2)) AS varchar(30)) END AS monto_txt,
-  Attendant, IdCliente, Voucher, Validador, FormaPago
+  CASE k%60 WHEN 11 THEN 'N/A' WHEN 12 THEN 'null' ELSE Attendant END AS Attendant, IdCliente, Voucher, Validador, FormaPago
 FROM ops_raw"""
     views["prize_cells"] = f"""
 SELECT k, k%3 AS file_no,
@@ -96,7 +96,8 @@ SELECT k, k%3 AS file_no,
   {d.day_text(d.day10("Fecha"))} AS jornada_txt,
   cast(cast(Monto AS decimal(18,2)) AS varchar(30)) AS monto_txt,
   cast(cast(Propina AS decimal(18,2)) AS varchar(30)) AS propina_txt,
-  Attendant, FormaPago, IdCliente, Maquina
+  Attendant, CASE WHEN k%70=9 THEN 'None' ELSE FormaPago END AS FormaPago, IdCliente,
+  CASE WHEN k%45=3 THEN 'NA' ELSE Maquina END AS Maquina
 FROM prizes_raw"""
     views["date_cells"] = f"""
 SELECT k, CASE k%10 WHEN 0 THEN {d.iso("Fecha")} WHEN 1 THEN {d.day_first("Fecha", "/")} WHEN 2 THEN {d.day_first("Fecha", "-")}
@@ -174,7 +175,6 @@ def with_views(d: Dialect, *names: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem")}
     text = f"{with_views(SPARK, name)} SELECT * FROM {name}"
-    used = {t: df for t, df in tables.items() if f"{{{t}}}" in text}
-    return spark.sql(text, **used)
+    used = [t for t in ("orders", "lineitem") if f"{{{t}}}" in text]
+    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})

@@ -33,11 +33,6 @@ def parse_amount(text: Column, default: float | None = 0.0) -> Column:
     return F.coalesce(in_range, infinite, F.lit(default).cast("double"))
 
 
-def clean_amount(number: Column) -> Column:
-    """The same rule for a column that already is a number."""
-    return F.coalesce(F.nanvl(number.cast("double"), F.lit(0.0)), F.lit(0.0))
-
-
 def amount_parts(amount: Column) -> list[Column]:
     """Columns ``amt_units``, ``amt_cents``, ``amt_rest`` of one amount."""
     cents = F.rint(amount * 100)

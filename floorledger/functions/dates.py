@@ -36,6 +36,12 @@ DAY_FIRST = (
     r"^(0?[1-9]|[12]\d|3[01])[-/.](0?[1-9]|1[0-2])[-/.](\d{4})"
     r"(?:[ T]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?))?$"
 )
+# The same two within years that are certainly in range: read by generated code, without the ladder.
+NEAR_ISO = r"^(?:1[7-9]|2[01])\d{2}-(?:0\d|1[0-2])-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?$"
+NEAR_DAY_FIRST = (
+    r"^(0?[1-9]|[12]\d|3[01])[-/.](0?[1-9]|1[0-2])[-/.]((?:1[7-9]|2[01])\d{2})"
+    r"(?:[ T]+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?))?$"
+)
 # Each of the others is rewritten to: first | second | third | hour | minute | second | fraction | a/p
 SPELLINGS = [
     (r"(?i)^(\d{1,4})([-/. ])(\d{1,2})\2(\d{1,4})" + _CLOCK + "$", "$1|$3|$4|$5|$6|$7|$8|$9"),
@@ -114,10 +120,11 @@ def _with(value: Column, body: Callable[[Column], Column]) -> Column:
 def parse_day_first(text: Column) -> Column:
     """Timestamp of a text cell; null when it cannot be read.
 
-    ISO text (what the workbook reader emits for date cells) takes a direct cast. Any other spelling is
-    matched once into parts and rebuilt as ISO text for the same cast. The steps are bound with lambdas
-    and not written as nested columns: repeated inside whole-stage code they make one method too large
-    for the JVM to compile, which runs several times slower.
+    ISO text (what the workbook reader emits for date cells) and the plain day-first spelling of common
+    years are ordinary columns and run as generated code. Any other spelling is matched once into parts
+    and rebuilt as ISO text for the same cast. Those steps are bound with lambdas and not written as
+    nested columns: repeated inside whole-stage code they make one method too large for the JVM to
+    compile, which runs several times slower.
     """
     low, high = F.lit(EARLIEST).cast("timestamp_ntz"), F.lit(LATEST).cast("timestamp_ntz")
 
@@ -129,7 +136,10 @@ def parse_day_first(text: Column) -> Column:
     def moment(cell: Column) -> Column:
         return _with(iso(cell).try_cast("timestamp_ntz"), lambda t: F.when(t.between(low, high), t))
 
-    return _with(strip(text), moment)
+    day_first = F.regexp_replace(text, NEAR_DAY_FIRST, "$3-$2-$1 $4")
+    plain = F.when(text.rlike(NEAR_ISO), text).when(text.rlike(NEAR_DAY_FIRST), day_first)
+    ladder = F.when(~text.rlike(NEAR_ISO) & ~text.rlike(NEAR_DAY_FIRST), _with(strip(text), moment))
+    return F.coalesce(plain.try_cast("timestamp_ntz"), ladder)
 
 
 def operating_day(moment: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floorledger.functions.amounts import PARTS, amount_parts, sum_parts
+from floorledger.functions.amounts import amount_parts, sum_parts
 from floorledger.functions.text import payment_class
 
 OPS = "ops"
@@ -50,6 +50,3 @@ def fold(df: DataFrame, *keys: str) -> DataFrame:
         .groupBy(*keys)
         .agg(F.sum(OPS).alias(OPS), *sum_parts(), F.min(FIRST).alias(FIRST), F.max(LAST).alias(LAST))
     )
-
-
-FACT_COLUMNS = [OPS, *PARTS, FIRST, LAST]

@@ -93,17 +93,22 @@ def bad_sheets(headers: DataFrame) -> DataFrame:
     return headers.where(F.size("missing") > 0).select(*SHEET, text.alias("error"))
 
 
+def present(cell: Column) -> Column:
+    """The cell's text; null for the spellings of a missing value."""
+    return F.when(~cell.isin(S.MISSING_TEXT), cell)
+
+
 def bind_headers(grid: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows below each header as named text columns.
 
-    A column the sheet does not have is the empty text, an empty cell is null, so later steps can tell
-    one from the other. Sheets with a missing required column are left out (see ``bad_sheets``).
+    A column the sheet does not have is the empty text, an empty cell or a missing-value spelling is null,
+    so later steps can tell one from the other. Sheets with a missing required column are left out (see ``bad_sheets``).
     """
     usable = headers.where(F.size("missing") == 0).select(*SHEET, "header_row", "Tipo", "at")
     rows = lookup_join(grid.select(*SHEET, "modified", "row_idx", "cells"), usable, SHEET)
     below = rows.where(F.col("row_idx") > F.col("header_row"))
     cells = [
-        F.when(F.col(f"at.{c}").isNull(), F.lit("")).otherwise(F.get("cells", F.col(f"at.{c}"))).alias(c)
+        F.when(F.col(f"at.{c}").isNull(), F.lit("")).otherwise(present(F.get("cells", F.col(f"at.{c}")))).alias(c)
         for c in S.HEADERS_COMMON
     ]
     return below.select(
@@ -114,23 +119,25 @@ def bind_headers(grid: DataFrame, headers: DataFrame) -> DataFrame:
 def named_cells(grid: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows below each header as ``path, sheet, row_idx, fields`` with every named column, known or not.
 
-    Repeated names are told apart by their place (``Monto``, ``Monto.1``), empty ones become
-    ``Unnamed: <place>``.
+    Empty names become ``Unnamed: <place>``. Repeated names get the first free number (``Monto``,
+    ``Monto.1``), so every name is unique whatever the sheet calls its other columns.
     """
     name = F.transform(
         "names", lambda n, i: F.when(F.coalesce(n, F.lit("")) == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(n)
     )
     plain = headers.select(*SHEET, "header_row", name.alias("names"))
-    earlier = F.transform(
+
+    def free(taken: Column, n: Column) -> Column:
+        numbered = F.transform(F.sequence(F.lit(1), F.size("names")), lambda k: F.concat(n, F.lit("."), k.cast("string")))
+        return F.get(F.array_except(F.array_except(numbered, taken), F.col("names")), F.lit(0))
+
+    unique = F.aggregate(
         "names",
-        lambda n, i: F.size(F.filter(F.slice("names", F.lit(1), i), lambda other: other == n)),
-    )
-    unique = F.transform(
-        F.arrays_zip(F.col("names").alias("n"), earlier.alias("e")),
-        lambda p: F.when(p["e"] > 0, F.concat(p["n"], F.lit("."), p["e"].cast("string"))).otherwise(p["n"]),
+        F.array().cast("array<string>"),
+        lambda taken, n: F.array_append(taken, F.when(F.array_contains(taken, n), free(taken, n)).otherwise(n)),
     )
-    keyed = plain.select(*SHEET, "header_row", unique.alias("names"))
+    keyed = plain.select(*SHEET, "header_row", F.when(F.size("names") > 0, unique).otherwise(F.col("names")).alias("names"))
     rows = lookup_join(grid.select(*SHEET, "row_idx", "cells"), keyed, SHEET)
     below = rows.where((F.col("row_idx") > F.col("header_row")) & (F.size("names") > 0))
-    values = F.transform("names", lambda n, i: F.get("cells", i))
+    values = F.transform("names", lambda n, i: present(F.get("cells", i)))
     return below.select(*SHEET, "row_idx", F.map_from_arrays("names", values).alias("fields"))

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
 
 
-def text_bytes(df: DataFrame) -> int:
-    """Size of ``df`` as text, added up on the executors; only one number reaches the driver."""
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and their size as text, added up on the executors; two numbers reach the driver."""
     size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
-    return df.agg(F.coalesce(size, F.lit(0)).alias("bytes")).first()["bytes"]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    return row["rows"], row["bytes"]
 
 
 def lookup_join(
@@ -21,16 +21,15 @@ def lookup_join(
     on: list[str],
     how: str = "inner",
     broadcast_bytes: int = BROADCAST_BYTES,
+    size: int | None = None,
 ) -> DataFrame:
-    """Join ``large`` with ``small`` on ``on``; ``how`` is ``inner``, ``left`` or ``left_semi``.
+    """Join ``large`` with ``small`` on ``on``; ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
 
-    ``small`` is measured. Below ``broadcast_bytes`` it is broadcast and ``large`` is not shuffled.
-    Above it, both sides are shuffled on the keys plus a salt taken from the content of the large row,
-    so one key that holds a third of all rows is spread over 32 tasks. ``small`` must be unique on
-    ``on`` and is repeated once per salt. Both ways give the same rows.
+    ``small`` is measured, unless its ``size`` in bytes is given. Below ``broadcast_bytes`` it is broadcast
+    and ``large`` is not shuffled. Above it, both sides are shuffled on the keys; a key that holds a third
+    of all rows is split over tasks by adaptive execution, which works for all of these joins as ``large``
+    is on the left. Both ways give the same rows and read only the columns they need.
     """
-    if text_bytes(small) <= broadcast_bytes:
-        return large.join(F.broadcast(small), on, how)
-    salted = large.withColumn("__salt", F.pmod(F.xxhash64(*large.columns), F.lit(SALTS)).cast("int"))
-    repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [*on, "__salt"], how).drop("__salt")
+    if size is None:
+        size = measure(small)[1]
+    return large.join(F.broadcast(small) if size <= broadcast_bytes else small.hint("merge"), on, how)

@@ -14,7 +14,7 @@ from floorledger import schema as S
 from floorledger.functions.amounts import sum_amount
 from floorledger.functions.text import month_label, timestamp_text
 from floorledger.operators.cleaning import settle
-from floorledger.operators.facts import CLASS, FIRST, LAST, as_facts, count_ops, is_facts
+from floorledger.operators.facts import CLASS, FIRST, LAST, as_facts, count_ops, fold, is_facts
 
 CLASSES = list(S.PAYMENT_CLASSES)
 
@@ -156,9 +156,13 @@ def machine_total(df: DataFrame) -> DataFrame:
 
 
 def machine_grouping_sets(df: DataFrame) -> DataFrame:
-    """Both machine reports in one pass over the data; ``Mes`` is null in the rows over all months."""
+    """Both machine reports in one pass over the data; ``Mes`` is null in the rows over all months.
+
+    The rows fold by month, machine and class first; the grouping sets double those few rows only.
+    """
     sets = [[F.col("Mes"), F.col("Maquina")], [F.col("Maquina")]]
-    totals = _machines(df).groupingSets(sets, "Mes", "Maquina").agg(*_machine_measures())
+    folded = fold(_machines(df), "Mes", "Maquina", CLASS)
+    totals = folded.groupingSets(sets, "Mes", "Maquina").agg(*_machine_measures())
     return totals.orderBy(F.asc_nulls_last("Mes"), F.desc("Premios"), "Maquina").select("Mes", *MACHINE_COLUMNS)
 
 

@@ -7,7 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floorledger.operators.lookups import lookup_join
+from floorledger.operators.lookups import lookup_join, measure
+from floorledger.session import cut_lineage
 
 Selection = Iterable[str] | DataFrame | None
 
@@ -25,15 +26,15 @@ def search_attendants(df: DataFrame, text: str) -> DataFrame:
 def filter_attendants(df: DataFrame, selection: Selection = None) -> DataFrame:
     """Rows of the selected attendants; an empty selection keeps every row.
 
-    A list becomes a membership test, a table with an ``Attendant`` column a semi join.
+    A list becomes a membership test, a table with an ``Attendant`` column a semi join. The table's names
+    are worked out once and counted and measured in one pass.
     """
     if selection is None:
         return df
     if isinstance(selection, DataFrame):
-        names = selection.select("Attendant").where(F.col("Attendant").isNotNull()).distinct()
-        if names.isEmpty():
-            return df
-        return lookup_join(df, names, ["Attendant"], "left_semi")
+        names = cut_lineage(selection.select("Attendant").where(F.col("Attendant").isNotNull()).distinct())
+        rows, size = measure(names)
+        return lookup_join(df, names, ["Attendant"], "left_semi", size=size) if rows else df
     names = list(dict.fromkeys(selection))
     return df.where(F.col("Attendant").isin(names)) if names else df
 

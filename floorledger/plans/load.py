@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from floorledger.operators.cleaning import clean_sheets
 from floorledger.operators.headers import bad_sheets, bind_headers, sheet_headers
 from floorledger.operators.selection import Selection, attendants
-from floorledger.operators.uploads import latest_upload_wins
+from floorledger.operators.uploads import KEYS, latest_uploads, rows_of
 from floorledger.plans.report_set import Reports, generate_reports
 from floorledger.plans.rollup import write_rollups
 from floorledger.session import checkpoint_folder, cut_lineage
-from floorledger.sources.grid import pick_sheet, read_workbooks, stage_grid, unreadable
+from floorledger.sources.grid import pick_sheet, read_workbooks, rejected_files, stage_grid, unreadable, whole_sheets
 from floorledger.sources.history import receipt, write_history
 
 
@@ -25,6 +25,7 @@ class LoadResult:
 
     written: dict[str, int]
     errors: DataFrame
+    winners: DataFrame | None = field(default=None, compare=False)
 
     @property
     def receipt(self) -> tuple[int, str]:
@@ -34,13 +35,25 @@ class LoadResult:
 def clean_grid(grid: DataFrame, sheet: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Canonical rows of a grid's default (or named) sheets, and the uploads that cannot be loaded.
 
-    The headers are one small row per sheet; they are checkpointed because the size check, the join and
-    the error list all read them.
+    An upload is loaded whole or not at all: rows of a workbook that could not be read to its end are
+    left out. Every path of the grid that gives no canonical sheet is listed once, with a reason. The
+    grid is read several times, so it should be staged; headers and problems are one small row per sheet
+    and are checkpointed because the size checks, the joins and the error list all read them.
     """
-    sheets = pick_sheet(grid, sheet)
+    bad = cut_lineage(unreadable(grid).distinct())
+    sheets = whole_sheets(grid, bad, sheet)
     headers = cut_lineage(sheet_headers(sheets))
-    errors = unreadable(grid).unionByName(bad_sheets(headers).select("path", "error"))
-    return clean_sheets(bind_headers(sheets, headers)), errors
+    listed = bad.unionByName(bad_sheets(headers).select("path", "error"))
+    known = bad.select("path").union(headers.select("path"))
+    filled = pick_sheet(grid, sheet).select("path", F.lit("no header in the first rows").alias("error")).distinct()
+    silent = grid.select("path").distinct().join(known, "path", "left_anti").join(filled, "path", "left")
+    silent = silent.select("path", F.coalesce("error", F.lit("no such sheet, or an empty one")).alias("error"))
+    return clean_sheets(bind_headers(sheets, headers)), listed.unionByName(silent)
+
+
+def work_folder(spark: SparkSession, staging: str | None = None) -> str:
+    """A new folder below ``staging``, by default below the shared checkpoint folder."""
+    return f"{(staging or checkpoint_folder(spark)).rstrip('/')}/load-{uuid.uuid4().hex}"
 
 
 def stage_batch(batch: DataFrame, folder: str) -> DataFrame:
@@ -56,28 +69,52 @@ def load_grid(
     staging: str | None = None,
     sheet: str | None = None,
     rollups: bool = False,
+    earlier: DataFrame | None = None,
 ) -> LoadResult:
     """Clean the grid, keep the latest upload of each kind and month, and replace those months.
 
-    The staged copies live in a new folder below ``staging``, by default below the shared checkpoint
-    folder, and are left there for the owner of that folder to expire.
+    ``earlier`` holds winners (``Tipo, Mes, upload``) of earlier parts of the same run: months that a later
+    upload already supplied are left alone. The staged copies live in a new folder below ``staging``, by
+    default below the shared checkpoint folder, and are left there for the owner of that folder to
+    expire: with ``replay`` they repeat a load that broke off.
     """
     spark = grid.sparkSession
-    work = f"{(staging or checkpoint_folder(spark)).rstrip('/')}/load-{uuid.uuid4().hex}"
+    work = work_folder(spark, staging)
     staged = stage_grid(grid, f"{work}/grid")
     cleaned, errors = clean_grid(staged, sheet)
-    batch = stage_batch(cleaned, f"{work}/batch").withColumn("upload", F.struct("modified", "path"))
-    latest = latest_upload_wins(batch, "upload")
-    written = write_history(latest, root)
+    batch = stage_batch(cleaned, f"{work}/batch")
+    written, winners = replay(batch, root, rollups, earlier)
+    return LoadResult(written, errors, winners)
+
+
+def replay(
+    batch: DataFrame, root: str, rollups: bool = False, earlier: DataFrame | None = None
+) -> tuple[dict[str, int], DataFrame]:
+    """Write a staged batch to the history and its rollups; returns rows per kind and the winners.
+
+    Repeating it replaces the same months with the same rows. The batch is scanned once for the winners,
+    which also hold the row counts, and once per table that is written.
+    """
+    batch = batch.withColumn("upload", F.struct("modified", "path"))
+    winners = latest_uploads(batch, "upload")
+    if earlier is not None:
+        before = earlier.groupBy(*KEYS).agg(F.max("upload").alias("before"))
+        fresh = winners.join(before, KEYS, "left").where("before IS NULL OR upload >= before")
+        winners = cut_lineage(fresh.drop("before"))
+    counts = winners.groupBy("Tipo").agg(F.sum("rows").alias("rows")).collect()  # one row per kind
+    written = {r["Tipo"]: r["rows"] for r in counts}
+    latest = rows_of(batch, winners, "upload")
+    write_history(latest, root, written=written)
     if rollups:
         for kind in written:
             write_rollups(latest, root, kind)
-    return LoadResult(written, errors)
+    return written, winners
 
 
-def load_folder(spark: SparkSession, folder: str, root: str, **options) -> LoadResult:
-    """Bulk load of every workbook below ``folder``."""
-    return load_grid(read_workbooks(spark, folder), root, **options)
+def load_folder(spark: SparkSession, folder: str, root: str, sheet: str | None = None, **options) -> LoadResult:
+    """Bulk load of every workbook below ``folder``; other files are listed among the errors."""
+    result = load_grid(read_workbooks(spark, folder, sheet=sheet), root, sheet=sheet, **options)
+    return LoadResult(result.written, result.errors.unionByName(rejected_files(spark, folder)), result.winners)
 
 
 def process_workbook(
@@ -95,9 +132,10 @@ def workbook_attendants(spark: SparkSession, path: str, sheet: str | None = None
 def open_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> tuple[DataFrame, str, bool]:
     """Canonical rows of one workbook, its kind, and whether it has a payment type column.
 
-    One workbook is one task's work; only its header row, a single row, comes to the driver.
+    One workbook is one task's work; only its header row, a single row, comes to the driver. The rows are
+    checkpointed once cleaned, so reports do not parse them again.
     """
-    grid = cut_lineage(read_workbooks(spark, path, recursive=False))
+    grid = cut_lineage(read_workbooks(spark, path, recursive=False, sheet=sheet))
     problem = unreadable(grid).first()
     if problem:
         raise ValueError(f"{problem['path']}: {problem['error']}")
@@ -105,10 +143,10 @@ def open_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> t
     headers = sheet_headers(sheets)
     header = headers.first()
     if header is None:
-        raise ValueError(f"{path}: no such sheet, or an empty one")
+        raise ValueError(f"{path}: no header in the first rows, or an empty sheet")
     if header["missing"]:
         raise ValueError(f"{path}: missing column: {', '.join(header['missing'])}")
-    batch = clean_sheets(bind_headers(sheets, headers))
+    batch = cut_lineage(clean_sheets(bind_headers(sheets, headers)))
     has_payment_type = header["at"]["FormaPago"] is not None
     return batch, header["Tipo"], has_payment_type
 

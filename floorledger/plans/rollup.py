@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from floorledger import schema as S
 from floorledger.operators.facts import CLASS, as_facts, fold
-from floorledger.plans.report_set import FactSet
-from floorledger.sources.history import replace_months
+from floorledger.operators.selection import Selection
+from floorledger.plans.report_set import FactSet, Reports, generate_reports
+from floorledger.session import cut_lineage
+from floorledger.sources.history import replace_months, scan, store
 
 PEOPLE_KEYS = ["Tipo", "Mes", "JornadaDia", "Hora", "Attendant", CLASS]
 MACHINE_KEYS = ["Tipo", "Mes", "Maquina", "Attendant", CLASS]
@@ -28,18 +31,39 @@ FACT_FIELDS = (
 def roll_up(df: DataFrame) -> FactSet:
     """Rollups of canonical rows or of a history scan."""
     facts = as_facts(df)
-    if "Maquina" not in facts.columns:
-        facts = facts.withColumn("Maquina", F.lit(None).cast("string"))
+    for column in ("Maquina", CLASS):
+        if column not in facts.columns:
+            facts = facts.withColumn(column, F.lit(None).cast("string"))
     return FactSet(fold(facts, *PEOPLE_KEYS), fold(facts, *MACHINE_KEYS))
 
 
+def stage_facts(df: DataFrame, kind: str) -> FactSet:
+    """Rollups worked out once, for a whole report set: at most two scans of ``df`` instead of one per report."""
+    rollups = roll_up(df)
+    machines = cut_lineage(rollups.machines) if kind == S.PREMIOS else rollups.machines
+    return FactSet(cut_lineage(rollups.people), machines)
+
+
+def report_bundle(
+    df: DataFrame, kind: str, attendants: Selection = None, has_payment_type: bool | None = None
+) -> Reports:
+    """All reports of one kind from staged facts: what bundles, manifests and publishing should be made from."""
+    if has_payment_type is None:
+        has_payment_type = "FormaPago" in df.columns or CLASS in df.columns
+    return generate_reports(stage_facts(df, kind), kind, attendants, has_payment_type)
+
+
 def _path(root: str, table: str, kind: str) -> str:
     return f"{root.rstrip('/')}/{table}_{kind.lower()}"
 
 
 def write_rollups(batch: DataFrame, root: str, kind: str) -> None:
-    """Replace the rollup months that occur in ``batch``, which must hold those months whole."""
-    rollups = roll_up(batch.where(F.col("Tipo") == kind))
+    """Replace the rollup months that occur in ``batch``, which must hold those months whole.
+
+    The rows are taken in the form the history stores and returns them, so rollups and history give the
+    same reports.
+    """
+    rollups = roll_up(scan(store(batch.where(F.col("Tipo") == kind), kind), kind))
     replace_months(rollups.people, _path(root, PEOPLE_TABLE, kind), "Mes")
     replace_months(rollups.machines, _path(root, MACHINE_TABLE, kind), "Mes")
 

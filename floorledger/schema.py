@@ -43,6 +43,12 @@ HEADERS_PREMIOS = {
 }
 REQUIRED_COLUMNS = ["Fecha", "Jornada", "Monto", "Attendant"]
 
+# --- fixed values: text that stands for a missing value in a sheet ------------------------------------
+MISSING_TEXT = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
 # --- fixed values: payment classes ---------------------------------------------------------------
 # "progresive" is a spelling found in the data.
 PAYMENT_CLASSES = {
@@ -122,6 +128,17 @@ _STORED_TAIL = [
     T.StructField("hora", T.IntegerType()),
     T.StructField("mes", T.StringType()),
 ]
+# fixed values: report names of stored columns
+REPORT_NAMES = {
+    "fecha": "Fecha",
+    "jornada": "Jornada",
+    "monto": "Monto",
+    "attendant": "Attendant",
+    "mes": "Mes",
+    "hora": "Hora",
+    "forma_pago": "FormaPago",
+    "maquina": "Maquina",
+}
 OPERATIONS_TABLE = "operaciones"
 OPERATIONS_TABLE_SCHEMA = T.StructType(
     [*_STORED_HEAD, T.StructField("voucher", T.StringType()), *_STORED_TAIL]

@@ -49,7 +49,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return named
     if active:
         return active
-    if not context.master.startswith("local"):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir is not set; name a folder all executors share")
     folder = tempfile.mkdtemp(prefix="floorledger-checkpoint-")
     context.setCheckpointDir(folder)

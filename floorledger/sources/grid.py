@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorledger import schema as S
+from floorledger.operators.lookups import lookup_join
 from floorledger.sources.workbook import workbook_rows
 
 WORKBOOK_GLOB = "*.[xX][lL][sS][xX]"
-LEGACY_GLOB = "*.[xX][lL][sS]"
 ROWS_PER_BATCH = 4096
 
 
@@ -21,52 +21,56 @@ def is_workbook_name(name: Column) -> Column:
     return F.lower(name).rlike(r"(?s)[^/]\.xlsx?$")
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decode(batches: Iterator[pd.DataFrame], wanted: str | None) -> Iterator[pd.DataFrame]:
     columns = S.GRID_SCHEMA.names
     for files in batches:
         for path, modified, content in zip(files["path"], files["modificationTime"], files["content"]):
             pending: list[tuple] = []
+            error = None
             try:
-                for sheet, number, row, cells in workbook_rows(content):
+                for sheet, number, row, cells in workbook_rows(content, wanted):
                     pending.append((path, modified, sheet, number, row, cells, None))
                     if len(pending) >= ROWS_PER_BATCH:
                         yield pd.DataFrame(pending, columns=columns)
                         pending = []
+            except LookupError as problem:
+                error = str(problem)
             except Exception as problem:  # one unreadable upload must not end the job
-                pending.append((path, modified, None, 0, -1, None, f"{type(problem).__name__}: {problem}"))
-            if pending:
-                yield pd.DataFrame(pending, columns=columns)
+                error = f"{type(problem).__name__}: {problem}"
+            pending.append((path, modified, None, 0, -1, None, error))
+            yield pd.DataFrame(pending, columns=columns)
 
 
-def decode_workbooks(files: DataFrame) -> DataFrame:
-    """Grid of a ``binaryFile`` frame.
+def decode_workbooks(files: DataFrame, sheet: str | None = None) -> DataFrame:
+    """Grid of the first or named sheets of a ``binaryFile`` frame.
 
-    Every workbook is decoded in one task, many workbooks side by side. One that cannot be read gives a
-    single row with ``row_idx = -1`` and its problem in ``error``.
+    Every workbook is decoded in one task, many workbooks side by side. After its rows each gives a row
+    with ``row_idx = -1``, which holds its problem in ``error`` if it could not be read to the end: rows
+    before a damaged place are in the grid and must be left out (see ``whole_sheets``).
     """
-    return files.select("path", "modificationTime", "content").mapInPandas(_decode, S.GRID_SCHEMA)
+    columns = files.select("path", "modificationTime", "content")
+    return columns.mapInPandas(lambda batches: _decode(batches, sheet), S.GRID_SCHEMA)
 
 
-def read_workbooks(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """Grid of all ``.xlsx`` files below ``folder``."""
+def read_workbooks(spark: SparkSession, folder: str, recursive: bool = True, sheet: str | None = None) -> DataFrame:
+    """Grid of the first or named sheets of all ``.xlsx`` files below ``folder``."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", WORKBOOK_GLOB)
         .option("recursiveFileLookup", str(recursive).lower())
         .load(folder)
     )
-    return decode_workbooks(files)
+    return decode_workbooks(files, sheet)
 
 
-def legacy_workbooks(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """Legacy ``.xls`` uploads: accepted by name, but no reader exists for them. Contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", LEGACY_GLOB)
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(folder)
-        .select("path", F.lit("legacy .xls workbooks cannot be read").alias("error"))
-    )
+def rejected_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """``path, error`` of the files below ``folder`` that no load reads. Contents are not read.
+
+    Legacy ``.xls`` uploads are accepted by name, but no reader exists for them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    legacy = F.when(is_workbook_name(F.col("path")), "legacy .xls workbooks cannot be read").otherwise("not a workbook")
+    return files.where(~F.lower("path").endswith(".xlsx")).select("path", legacy.alias("error"))
 
 
 def stage_grid(grid: DataFrame, folder: str) -> DataFrame:
@@ -86,5 +90,13 @@ def pick_sheet(grid: DataFrame, sheet: str | None = None) -> DataFrame:
 
 
 def unreadable(grid: DataFrame) -> DataFrame:
-    """Workbooks that could not be decoded."""
-    return grid.where(F.col("row_idx") < 0).select("path", "error")
+    """Workbooks that could not be decoded to the end."""
+    return grid.where((F.col("row_idx") < 0) & F.col("error").isNotNull()).select("path", "error")
+
+
+def whole_sheets(grid: DataFrame, bad: DataFrame, sheet: str | None = None) -> DataFrame:
+    """Rows of the default (or named) sheets without those of the workbooks in ``bad``."""
+    rows = pick_sheet(grid, sheet)
+    if bad.isEmpty():
+        return rows
+    return lookup_join(rows, bad.select("path").distinct(), ["path"], "left_anti")

@@ -63,21 +63,9 @@ def store(df: DataFrame, kind: str, null_text: str = NULL_TEXT) -> DataFrame:
     return (store_prizes if kind == S.PREMIOS else store_operations)(df, null_text)
 
 
-_REPORT_NAMES = {
-    "fecha": "Fecha",
-    "jornada": "Jornada",
-    "monto": "Monto",
-    "attendant": "Attendant",
-    "mes": "Mes",
-    "hora": "Hora",
-    "forma_pago": "FormaPago",
-    "maquina": "Maquina",
-}
-
-
 def scan(stored: DataFrame, kind: str) -> DataFrame:
     """Stored rows under their report names; month and hour come from storage."""
-    columns = [F.col(c).alias(_REPORT_NAMES.get(c, c)) for c in stored.columns]
+    columns = [F.col(c).alias(S.REPORT_NAMES.get(c, c)) for c in stored.columns]
     return stored.select(
         *columns, F.to_date("jornada").alias("JornadaDia"), F.lit(kind).alias("Tipo")
     )
@@ -118,13 +106,16 @@ def replace_months(stored: DataFrame, path: str, month: str = "mes") -> None:
     )
 
 
-def write_history(batch: DataFrame, root: str, null_text: str = NULL_TEXT) -> dict[str, int]:
+def write_history(
+    batch: DataFrame, root: str, null_text: str = NULL_TEXT, written: dict[str, int] | None = None
+) -> dict[str, int]:
     """Route a canonical batch by kind and replace its months; returns rows written per kind.
 
-    ``batch`` is read once to count (narrow columns only) and once per kind that has rows, so it should
-    be a staged table partitioned by ``Tipo``.
+    ``batch`` is read once per kind that has rows, so it should be a staged table partitioned by ``Tipo``,
+    and once more, narrow columns only, unless the rows per kind are given.
     """
-    written = {r["Tipo"]: r["rows"] for r in load_receipt(batch).collect()}
+    if written is None:
+        written = {r["Tipo"]: r["rows"] for r in load_receipt(batch).collect()}
     for kind in written:
         rows = batch.where(F.col("Tipo") == kind)
         replace_months(store(rows, kind, null_text), table_path(root, kind))

@@ -182,12 +182,18 @@ def _rows(
             holder.clear()
 
 
-def workbook_rows(content: bytes) -> Iterator[tuple[str, int, int, list[str | None]]]:
-    """(sheet name, sheet number, row number, cells) for every sheet of a workbook."""
+def workbook_rows(content: bytes, sheet: str | None = None) -> Iterator[tuple[str, int, int, list[str | None]]]:
+    """(sheet name, sheet number, row number, cells) of the named sheet, or of the first one.
+
+    Other sheets are not read, so damage in them does not matter.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         sheets, epoch = _sheets(book)
+        wanted = [(k, name, part) for k, (name, part) in enumerate(sheets) if (k == 0 if sheet is None else name == sheet)]
+        if not wanted:
+            raise LookupError("no such sheet" if sheets else "no sheets")
         strings, dates = _shared_strings(book), _date_styles(book)
-        for number, (name, part) in enumerate(sheets):
-            with book.open(part) as stream:
-                for row, cells in _rows(stream, strings, dates, epoch):
-                    yield name, number, row, cells
+        number, name, part = wanted[0]
+        with book.open(part) as stream:
+            for row, cells in _rows(stream, strings, dates, epoch):
+                yield name, number, row, cells

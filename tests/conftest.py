@@ -10,7 +10,8 @@ from floorledger.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("4", 4)
+def spark(tmp_path_factory):
+    shared = {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))}
+    session = local_session("4", 4, **shared)
     yield session
     session.stop()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from floorledger import schema as S
 from floorledger.operators import cleaning, headers, lookups
 from floorledger.plans.load import clean_grid, open_workbook, process_workbook, workbook_attendants
-from floorledger.sources.grid import is_workbook_name, legacy_workbooks, pick_sheet, read_workbooks, unreadable
+from floorledger.sources.grid import is_workbook_name, pick_sheet, read_workbooks, rejected_files, unreadable
 from workbooks import write_workbook
 
 D = dt.datetime
@@ -88,11 +88,30 @@ def test_both_ways_of_the_lookup_join_agree(spark):
         near = lookups.lookup_join(large, small, ["k"], how)
         far = lookups.lookup_join(large, small, ["k"], how, broadcast_bytes=0)
         assert sorted(map(str, near.collect())) == sorted(map(str, far.collect())), how
-    assert "Broadcast" not in lookups.lookup_join(large, small, ["k"], "inner", 0)._jdf.queryExecution().logical().toString()
+    assert "BroadcastHashJoin" not in lookups.lookup_join(large, small, ["k"], "inner", 0)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_lookup_join_reads_only_needed_columns(spark, tmp_path):
+    spark.range(100).selectExpr("id % 3 AS k", "id AS v", "uuid() AS unused").write.parquet(str(tmp_path / "large"))
+    small = spark.createDataFrame([(0,), (1,)], "k long")
+    for limit in (0, 1 << 20):
+        joined = lookups.lookup_join(spark.read.parquet(str(tmp_path / "large")), small, ["k"], "left_semi", limit).groupBy("k").count()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema: struct<k:bigint>" in plan
+
+
+def test_missing_value_spellings_are_nulls(spark):
+    rows = [(0, [*OPS, "Id Cliente"])] + [(i + 1, ["2024-01-02 11:00:00", "2024-01-02", "5", name, "NA"]) for i, name in enumerate(["Ana", *S.MISSING_TEXT, " NA ", "Nan"])]
+    batch, _ = clean_grid(grid(spark, {"p": rows}))
+    assert sorted((r["Attendant"], r["IdCliente"]) for r in batch.collect()) == [(" NA ", None), ("Ana", None), ("Nan", None)]
 
 
 def test_named_cells_keep_unknown_and_repeated_columns(spark):
     rows = [(0, [*OPS, "Monto", None, "Extra"]), (1, ["a", "b", "c", "d", "e", "f", "g"])]
+    for names in (["Monto", "Monto", "Monto.1"], ["Unnamed: 1", None, "Unnamed: 1"], []):
+        odd = grid(spark, {"p": [(0, names), (1, ["a", "b", "c"])]})
+        fields = headers.named_cells(odd, headers.detect_headers(odd)).collect()
+        assert [sorted(r["fields"].values()) for r in fields] == ([["a", "b", "c"]] if names else [])
     cells = grid(spark, {"p": rows})
     got = headers.named_cells(cells, headers.detect_headers(cells)).first()["fields"]
     assert got == {"Fecha": "a", "Jornada": "b", "Monto": "c", "Slot Attendant": "d", "Monto.1": "e", "Unnamed: 5": "f", "Extra": "g"}
@@ -120,9 +139,11 @@ def test_workbook_cells(spark, tmp_path):
     assert first[3] == ["2024-02-01 01:00:00", "2024-01-31 00:00:00", "12.5", "Ana & Co", "123", "V 1"]
     assert first[4] == ["2024-02-01 10:05:30", "01/02/2024", "7", "Bea", None, "True"]
     assert first[5][2] is None
-    assert [r["cells"] for r in pick_sheet(raw, "Dos").collect()] == [["nada"]]
+    other = read_workbooks(spark, str(tmp_path), sheet="Dos")
+    assert [r["cells"] for r in pick_sheet(other, "Dos").collect()] == [["nada"]]
     assert [r["path"].rsplit("/", 1)[1] for r in unreadable(raw).collect()] == ["broken.xlsx"]
-    assert [r["path"].rsplit("/", 1)[1] for r in legacy_workbooks(spark, str(tmp_path)).collect()] == ["old.xls"]
+    rejected = {r["path"].rsplit("/", 1)[1]: r["error"] for r in rejected_files(spark, str(tmp_path)).collect()}
+    assert rejected == {"old.xls": "legacy .xls workbooks cannot be read", "notes.txt": "not a workbook"}
 
 
 def test_one_workbook_to_reports(spark, tmp_path):
@@ -142,7 +163,7 @@ def test_one_workbook_errors_name_the_column(spark, tmp_path):
     path = write_workbook(str(tmp_path / "p.xlsx"), {"Hoja1": [["Fecha", "Jornada", "Attendant"], ["x", "y", "z"]]})
     with pytest.raises(ValueError, match="missing column: Monto"):
         open_workbook(spark, path)
-    with pytest.raises(ValueError, match="no such sheet"):
+    with pytest.raises(ValueError, match="no such sheet"):  # from the decoder
         open_workbook(spark, path, "Otra")
 
 
