@@ -179,47 +179,63 @@ def unresolved(buckets: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(mixed_.select("band"), "band")
 
 
-def block_pairs(rows: DataFrame, percent: int, bins: int, block: int = 1024) -> DataFrame:
-    """Pairs of different components within a bucket whose sizes and sketches may reach the similarity.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 32 << 20
 
-    A bucket is cut into blocks by a hash and pairs of blocks are compared, so a task holds two blocks at
-    a time. Only pairs near the similarity are emitted: the share of equal sketch bytes must reach it
-    less five standard deviations, those of a sample of min(n, bins) shingles.
+
+def block_links(rows: DataFrame, percent: int, bins: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """Links between different components within a bucket, as many as join what all of them join.
+
+    A bucket is cut into blocks by a hash, of about ``block`` rows and ``BLOCK_BYTES`` of sets, and pairs of
+    blocks are compared, so a task holds two blocks at a time. A pair goes on to its full sets where its
+    sizes fit and its share of equal sketch bytes reaches the similarity less five standard deviations,
+    those of a sample of min(n, bins) shingles; a pair of several buckets does in the first of them only,
+    and one that links found before connect does not at all.
     """
-    blocks = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
-    rows = rows.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
+    need = F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("n") * 8 / F.lit(BLOCK_BYTES))
+    rows = rows.join(rows.groupBy("band").agg(F.ceil(need).alias("blocks")), "band")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))
     rows = rows.withColumn("other", F.explode(other))
     low, high = F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
-    rows = rows.select("band", low, high, "own", "key", "label", "n", "sketch")
-
-    def run(key, table):
-        x = key[1].as_py()
-        cols = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "label", "n", "own")}
-        bytes_ = np.stack([np.frombuffer(v.as_buffer(), np.uint8) for v in table.column("sketch")])
-        label = _codes(cols["label"])
-        left = np.flatnonzero(cols["own"] == x)
-        same = x == key[2].as_py()
-        right = left if same else np.flatnonzero(cols["own"] != x)
-        found = []
-        s = percent / 100
+    rows = rows.select("band", low, high, "own", "key", "label", "n", "sketch", "bands", "shingles")
+    s = percent / 100
+
+    def run(group, table):
+        band, x, y = (k.as_py() for k in group)
+        own, n = (table.column(c).to_numpy() for c in ("own", "n"))
+        sketch = np.stack([np.frombuffer(v.as_buffer(), np.uint8) for v in table.column("sketch")])
+        bands = np.stack([v.values.to_numpy() for v in table.column("bands")])
+        sets, key = table.column("shingles"), table.column("key")
+        part = _codes(table.column("label").to_pylist())
+        members = lambda k: np.frombuffer(sets[int(k)].as_buffer(), np.uint64)
+        left = np.flatnonzero(own == x)
+        right = left if x == y else np.flatnonzero(own == y)
+        a, b = [], []
         for i in left:
-            js = right[right > i] if same else right
-            js = js[label[js] != label[i]]
-            small, large = np.minimum(cols["n"][js], cols["n"][i]), np.maximum(cols["n"][js], cols["n"][i])
-            js, small = js[small * 100 >= large * percent], small[small * 100 >= large * percent]
-            if len(js):
-                alike = (bytes_[js] == bytes_[i]).mean(1)
-                js = js[alike >= s - 5 * np.sqrt(s * (1 - s) / np.minimum(small, bins))]
-                found += [(cols["key"][i], cols["key"][j]) for j in js]
-        a = [min(p) for p in found]
-        b = [max(p) for p in found]
+            js = right[(right > i) & (part[right] != part[i])] if x == y else right[part[right] != part[i]]
+            js = js[np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent]
+            if not len(js):
+                continue
+            margin = 5 * np.sqrt(s * (1 - s) / np.minimum(np.minimum(n[js], n[i]), bins))
+            js = js[(sketch[js] == sketch[i]).mean(1) >= s - margin]
+            js = js[bands[i, (bands[js] == bands[i]).argmax(1)] == band]
+            mine = members(i) if len(js) else None
+            for j in js:
+                if part[j] == part[i]:
+                    continue
+                theirs = members(j)
+                both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                if 100 * both >= percent * (len(mine) + len(theirs) - both):
+                    part[part == part[j]] = part[i]
+                    one, two = sorted((key[int(i)].as_py(), key[int(j)].as_py()))
+                    a.append(one)
+                    b.append(two)
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return rows.groupBy("band", "x", "y").applyInArrow(run, "a binary, b binary").distinct()
+    return rows.groupBy("band", "x", "y").applyInArrow(run, "a binary, b binary")
 
 
-def _codes(labels: np.ndarray) -> np.ndarray:
+def _codes(labels: list) -> np.ndarray:
     codes: dict = {}
     return np.array([codes.setdefault(x, len(codes)) for x in labels])
 
@@ -230,8 +246,8 @@ def near_links(docs: DataFrame, classes: DataFrame, banding: Banding, percent: i
     1. In each bucket the members are compared with one hub, drawn by a hash: a star.
     2. In buckets that then hold several components, the member with most links is the hub of a second
        star. These two cost as many pairs as the buckets have members and settle nearly all of them.
-    3. What is left of the buckets is compared across components in blocks, filtered by sketches, so no
-       pair is given up because its hub was far from one of them.
+    3. What is left of the buckets is compared across components in blocks, so no pair is given up
+       because its hub was far from one of them. No more links come out than join components.
     """
     rows = classes.select("key", "n", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("band")
@@ -252,14 +268,11 @@ def near_links(docs: DataFrame, classes: DataFrame, banding: Banding, percent: i
     hubs = ranked.groupBy("band").agg(pick.alias("h"))
     hubs = hubs.select("band", F.col("h.key").alias("hub"), F.col("h.n").alias("m"), F.col("h.label").alias("hub_label"))
     more = star_pairs(rest, hubs, percent).join(tried, ["a", "b"], "left_anti")
-    tried2 = staged(more)
-    second = staged(first.union(confirmed(tried2, sets, percent)))
+    second = staged(first.union(confirmed(more, sets, percent)))
     dropped(rest)
 
-    rest = unresolved(buckets, second).join(classes.select("key", "sketch"), "key")
-    last = block_pairs(rest, percent, banding.bins)
-    last = last.join(tried.union(tried2), ["a", "b"], "left_anti")
-    return staged(second.union(confirmed(last, sets, percent)))
+    rest = unresolved(buckets, second).join(classes.select("key", "sketch", "bands"), "key").join(sets, "key")
+    return staged(second.union(block_links(rest, percent, banding.bins)))
 
 
 def near_dedup(
