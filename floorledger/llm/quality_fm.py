@@ -125,8 +125,10 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def train(examples, y: np.ndarray, factors: int = 8, epochs: int = 20, rate: float = 0.02, penalty: float = 1e-5, seed: int = 3) -> Machine:
-    """Adam over mini-batches of ``examples``: (bucket, value, statistics) per text."""
+def train(
+    examples, y: np.ndarray, factors: int = 8, epochs: int = 20, steps: int = 400, rate: float = 0.02, penalty: float = 1e-5, seed: int = 3
+) -> Machine:
+    """Adam over mini-batches of ``examples``: (bucket, value, statistics) per text; at least ``steps`` of them."""
     random = np.random.default_rng(seed)
     stats = np.stack([x[2] for x in examples])
     size = (1 << WORD_BITS) + stats.shape[1]
@@ -134,8 +136,9 @@ def train(examples, y: np.ndarray, factors: int = 8, epochs: int = 20, rate: flo
     machine = Machine(np.log(p / (1 - p)), np.zeros(size), random.normal(0, 0.05, (size, factors)), stats.mean(0), stats.std(0) + 1e-3)
     moments = [np.zeros(size), np.zeros(size), np.zeros((size, factors)), np.zeros((size, factors))]
     step = 0
-    for _ in range(epochs):
-        for rows in np.array_split(random.permutation(len(y)), max(1, len(y) // 128)):
+    batches = max(1, len(y) // 128)
+    for _ in range(max(epochs, -(-steps // batches))):
+        for rows in np.array_split(random.permutation(len(y)), batches):
             some = [examples[i] for i in rows]
             text = np.repeat(np.arange(len(rows)), [len(x[0]) for x in some])
             text, column, value = machine.joined(

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from floorledger.llm import minhash_dedup
 from floorledger.llm.minhash_dedup import Banding, keep_one, near_dedup, shingle_sets, sketches
 
 SCHEMA = "doc_id long, text string, kept string"
@@ -98,3 +99,26 @@ def test_shingles_of_short_and_long_texts():
     owner, hashed = shingle_sets(data, offsets)
     assert np.bincount(owner, minlength=4).tolist() == [2, 0, 1, 1]
     assert hashed[owner == 3][0] in hashed[owner == 0]
+
+
+def test_a_cluster_of_copies_far_and_near(spark, monkeypatch):
+    """Copies between half and wholly alike: stars leave some of them, which the blocks must settle."""
+    pick = random.Random(11)
+    base = [f"w{pick.randrange(500)}" for _ in range(160)]
+    rows = []
+    for k in range(120):
+        copy = list(base)
+        for _ in range(pick.randrange(0, 9)):
+            copy[pick.randrange(len(copy))] = f"x{pick.randrange(9999)}"
+        rows.append((k, " ".join(copy), None))
+    calls = []
+
+    def small(df, percent, bins):
+        calls.append(df.count())
+        return minhash_dedup.__dict__["_blocks"](df, percent, bins, 8)
+
+    monkeypatch.setattr(minhash_dedup, "_blocks", minhash_dedup.block_links, raising=False)
+    monkeypatch.setattr(minhash_dedup, "block_links", small)
+    got = near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert calls[0] > 0
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
