@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
-from floorledger.llm.common import bounded_batches
+from floorledger.llm.common import bounded_batches, staged, unit_hash
 from floorledger.llm.language_id import held_out
-from floorledger.llm.quality_fm import known_ids
 from floorledger.llm.textarrays import SPACES, byte_table, column_bytes, groups, mixed, words
 
 #: Tokens are runs of other bytes than white space and ASCII marks; chains end at these bytes.
@@ -195,19 +194,31 @@ def marking(value: np.ndarray, context: np.ndarray, toxic: np.ndarray, least: in
     return known[(bad >= least) & (rate >= precision * (rate + other))]
 
 
-def fit_field(docs: list[tuple], y: np.ndarray, turns: int = 30, rate: float = 0.4, penalty: float = 1e-3) -> Field | None:
-    """Train on (words, stems, chain starts) and labels of documents; None if nothing marks the toxic ones."""
-    text = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
-    word, first = (np.concatenate([d[i] for d in docs]) for i in (0, 2))
-    stems = np.concatenate([d[1] for d in docs], 1)
+@dataclass
+class Sample:
+    """Tokens of training documents one after the other: the document of each, its word, whether a chain begins;
+    the stems of the distinct words in order; and a label and a weight per document."""
+
+    text: np.ndarray
+    word: np.ndarray
+    first: np.ndarray
+    stems: np.ndarray
+    y: np.ndarray
+    weight: np.ndarray
+
+
+def fit_field(sample: Sample, turns: int = 30, rate: float = 0.4, penalty: float = 1e-3) -> Field | None:
+    """Train on a sample; None if nothing marks the toxic documents."""
+    text, word, first, y = sample.text, sample.word, sample.first, sample.y
     if not len(word):
         return None
+    distinct_words, own = np.unique(word, return_inverse=True)
     edge, toxic = np.zeros(1, np.uint64), y[text] == 1
     before, after = np.concatenate((edge, word[:-1])), np.concatenate((word[1:], edge))
     context = mixed(before * np.uint64(3) + word * np.uint64(7) + after * np.uint64(5))
     label = np.zeros(len(word), bool)
-    for value in (word, *stems):
-        label |= np.isin(value, marking(value, context, toxic))
+    for value in (distinct_words, *sample.stems):
+        label |= np.isin(value, marking(value[own], context, toxic))[own]
     label = (label & toxic).astype(float)
     if not label.any():
         return None
@@ -216,16 +227,18 @@ def fit_field(docs: list[tuple], y: np.ndarray, turns: int = 30, rate: float = 0
     near[1:] |= label[:-1] > 0
     near[:-1] |= label[1:] > 0
 
+    times, beside = np.bincount(own), np.bincount(own, weights=near) > 0
+
     def kept(value: np.ndarray) -> np.ndarray:
-        known, times = np.unique(value, return_counts=True)
-        out = np.union1d(known[times >= 20], value[near])
+        known, at = np.unique(value, return_inverse=True)
+        out = known[(np.bincount(at, weights=times) >= 20) | (np.bincount(at, weights=beside) > 0)]
         return out[out != 0]
 
-    vocabulary, known_stems = kept(word), np.unique(np.concatenate([kept(x) for x in stems]))
+    vocabulary, known_stems = kept(distinct_words), np.unique(np.concatenate([kept(x) for x in sample.stems]))
     v, k = len(vocabulary), len(known_stems)
     field = Field(vocabulary, known_stems, -3.0, np.zeros((3, v + 1)), np.zeros(k + 1), np.zeros((2, 2)), np.zeros(3))
-    places = field.look_up(word, stems)
-    at, stems_at, own = places
+    at, stems_at = _places(vocabulary, distinct_words), np.stack([_places(known_stems, x) for x in sample.stems])
+    places = at, stems_at, own
     observed = np.zeros((2, 2))
     inner = ~first[1:]
     np.add.at(observed, (label[:-1][inner].astype(int), label[1:][inner].astype(int)), 1)
@@ -251,55 +264,84 @@ def fit_field(docs: list[tuple], y: np.ndarray, turns: int = 30, rate: float = 0
         field.stem_weights -= steps[2]
         field.move -= steps[3]
     p = marginals(field.emission(places, first), first, field.move)
-    field.document = fit_document(summary(text, p, len(docs)), y)
+    field.document = fit_document(summary(text, p, len(y)), y, sample.weight)
     return field
 
 
-def fit_document(x: np.ndarray, y: np.ndarray, turns: int = 50, penalty: float = 0.05) -> np.ndarray:
+def fit_document(x: np.ndarray, y: np.ndarray, weight: np.ndarray, turns: int = 50, penalty: float = 0.05) -> np.ndarray:
     """Ridge logistic regression by Newton's method."""
     w = np.zeros(x.shape[1])
     ridge = penalty * np.diag([0.0] + [1.0] * (x.shape[1] - 1)) + 1e-9 * np.eye(x.shape[1])
     for _ in range(turns):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (p - y) + ridge @ w)
+        step = np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge, x.T @ (weight * (p - y)) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def collect_documents(rows: DataFrame) -> tuple[list, np.ndarray]:
-    """Words, stems and chain starts of ``text, y`` rows; the caller bounds the rows."""
+def collect_sample(rows: DataFrame) -> Sample:
+    """The sample of ``text, y, weight`` rows; the caller bounds the rows. The distinct words of a batch travel
+    with their stems, the tokens as their numbers."""
 
     def run(batches):
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            y = batch.column("y")
             for a, b in groups(offsets, RANGE):
                 found = tokens(data, offsets[a : b + 1])
-                cuts = pa.array(np.searchsorted(found.text, np.arange(b - a + 1)), pa.int32())
-                values = (found.word.view(np.int64), *found.stems.view(np.int64), found.first)
-                lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in values]
-                yield pa.RecordBatch.from_arrays([y.slice(a, b - a), *lists], names)
+                known, at, own = np.unique(found.word, return_index=True, return_inverse=True)
+                given = {c: batch.column(c).slice(a, b - a).to_pylist() for c in ("y", "weight")}
+                parts = {
+                    "words": known, **{f"stem{k}": found.stems[i, at] for i, k in enumerate(STEMS)},
+                    "own": own.astype(np.int32), "first": found.first, "text": found.text.astype(np.int32), **given,
+                }
+                lists = [pa.array([v.view(np.int64) if isinstance(v, np.ndarray) and v.dtype == np.uint64 else v]) for v in parts.values()]
+                yield pa.RecordBatch.from_arrays(lists, list(parts))
 
     bounded_batches(rows.sparkSession)
-    stems = [f"stem{k}" for k in STEMS]
-    schema = ", ".join(["y double", "word array<long>", *[f"{c} array<long>" for c in stems], "first array<boolean>"])
-    names = ["y", "word", *stems, "first"]
-    table = rows.select("text", "y").mapInArrow(run, schema).toArrow()
-    numbers = [[v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in table.column(c)] for c in ("word", *stems)]
-    first = [v.values.to_numpy(zero_copy_only=False).astype(bool) for v in table.column("first")]
-    docs = [(x[0], np.stack(x[1:]), f) for *x, f in zip(*numbers, first, strict=True)]
-    return docs, table.column("y").to_numpy()
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 3000, longest: int = 500_000) -> Field | None:
+    longs = ", ".join(f"{c} array<long>" for c in ("words", *(f"stem{k}" for k in STEMS)))
+    schema = f"{longs}, own array<int>, first array<boolean>, text array<int>, y array<double>, weight array<double>"
+    table = rows.select("text", "y", "weight").mapInArrow(run, schema).toArrow()
+
+    def parts(name: str) -> list[np.ndarray]:
+        return [v.values.to_numpy(zero_copy_only=False) for v in table.column(name)]
+
+    def joined(name: str, kind) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *[x.astype(kind, copy=False) for x in parts(name)]])
+
+    each = parts("words")
+    shift = np.cumsum([0] + [len(x) for x in parts("y")])
+    words_, once = np.unique(joined("words", np.int64).view(np.uint64), return_index=True)
+    return Sample(
+        np.concatenate([np.zeros(0, np.int64), *[x + d for x, d in zip(parts("text"), shift, strict=False)]]),
+        np.concatenate([np.zeros(0, np.int64), *[w[o] for w, o in zip(each, parts("own"), strict=True)]]).view(np.uint64),
+        joined("first", bool),
+        np.stack([joined(f"stem{k}", np.int64)[once].view(np.uint64) for k in STEMS]),
+        joined("y", float),
+        joined("weight", float),
+    )
+
+
+def chosen_ids(labels: DataFrame, label: str, most: int, toxic: float = 0.2) -> DataFrame:
+    """About ``most`` labelled ids that may be learned from, at most a share of ``toxic`` of them toxic, with
+    ``y`` and the ``weight`` that restores the shares of the labels."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out("doc_id", 5, 0))
+    known = known.groupBy("doc_id").agg(F.min(label).cast("double").alias("y"))
+    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    share = {y: min(1.0, most * (toxic if y else 1 - toxic) / n) for y, n in sizes.items()}
+    part = F.when(F.col("y") == 1, F.lit(share.get(1.0, 1.0))).otherwise(F.lit(share.get(0.0, 1.0)))
+    chosen = known.filter(unit_hash("doc_id", F.lit(9)) / F.lit(float(1 << 31)) < part)
+    return staged(chosen.withColumn("weight", 1 / part))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 2500, longest: int = 50_000) -> Field | None:
     """Train on about ``most`` labelled texts of at most ``longest`` bytes."""
-    ids = known_ids(labels, label, most)
+    ids = chosen_ids(labels, label, most)
     rows = docs.filter((F.octet_length("text") <= longest)).select("doc_id", "text")
     rows = rows.join(F.broadcast(ids), "doc_id")  # at most about ``most`` ids
-    examples, y = collect_documents(rows)
-    return fit_field(examples, y) if len(set(y)) == 2 else None
+    sample = collect_sample(rows)
+    return fit_field(sample) if len(set(sample.y)) == 2 else None
 
 
 SPANS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()).add("p", DoubleType()))
@@ -349,7 +391,7 @@ def tag_documents(docs: DataFrame, field: Field | None, columns: list[str], cut:
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, cut: float = 0.5, most: int = 3000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, cut: float = 0.5, most: int = 2500, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted, spans`` (offending offsets in characters).
 
