@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,22 +43,28 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column
     return name, verdict
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once per row, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hashed_grams(host: Column, path: Column, size: int, lengths: tuple[int, ...]) -> Column:
-    """Buckets of the character n-grams of host and path, each with its own marks. Texts are split once, so long ones stay linear."""
+    """Buckets of the character n-grams of host and path, each with its own marks.
 
-    def grams(text: Column, mark: str) -> Column:
-        chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
-        chars = F.filter(chars, lambda c: c != "")
+    A text is split into characters once, so the work is linear in its length.
+    """
 
-        def at(i: Column, n: int) -> Column:
-            parts = [F.element_at(chars, (i + k).cast("int")) for k in range(n)]
-            return F.pmod(F.xxhash64(F.lit(mark), *parts), F.lit(size)).cast("int")
+    def grams(text: Column, mark: str) -> Column:
+        def run(chars: Column, n: int) -> Column:
+            def at(i: Column) -> Column:
+                parts = [F.get(chars, (i + k).cast("int")) for k in range(n)]
+                return F.pmod(F.xxhash64(F.lit(mark), *parts), F.lit(size)).cast("int")
 
-        def run(n: int) -> Column:
-            found = F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: at(i, n))
+            found = F.transform(F.sequence(F.lit(0), F.size(chars) - n), at)
             return F.when(F.size(chars) >= n, found).otherwise(F.array().cast("array<int>"))
 
-        return F.concat(*[run(n) for n in lengths])
+        marked = F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
+        return once(marked, lambda chars: F.concat(*[run(chars, n) for n in lengths]))
 
     return F.concat(grams(host, "host"), grams(path, "path"))
 
@@ -70,8 +77,12 @@ class UrlModel:
     def margin(self, buckets: Column) -> Column:
         """Bias and mean weight times the root of the count, i.e. features of length one."""
         w = F.split(F.lit(" ".join(map(repr, self.weights))), " ").cast("array<double>")
-        total = F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.element_at(w, b + 1))
-        return F.lit(self.bias) + total / F.sqrt(F.greatest(F.size(buckets), F.lit(1)).cast("double"))
+
+        def linear(found: Column) -> Column:
+            total = F.aggregate(found, F.lit(0.0), lambda a, b: a + F.get(w, b))
+            return F.lit(self.bias) + total / F.sqrt(F.greatest(F.size(found), F.lit(1)).cast("double"))
+
+        return once(buckets, linear)
 
     def probability(self, buckets: Column) -> Column:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-self.margin(buckets)))
