@@ -16,16 +16,19 @@ from floorledger.llm.components import components
 
 @dataclass
 class Quantiser:
-    """Several learned rotations; the signs of the rotated vector are its code, cut into keys of ``bits`` bits."""
+    """Several learned rotations; the signs of the rotated vector are its code, cut into keys of ``bits`` bits.
+
+    Vectors are not centred: that would widen the angle of a pair, near the mean up to a straight one,
+    and the tables are as many as the angle itself calls for. With no bits all rows share the one key.
+    """
 
-    mean: np.ndarray
     rotations: np.ndarray
     tables: int
     bits: int
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """(rows, tables) integers."""
-        code = np.concatenate([((unit - self.mean) @ r) >= 0 for r in self.rotations], 1)[:, : self.tables * self.bits]
+        code = np.concatenate([(unit @ r) >= 0 for r in self.rotations], 1)[:, : self.tables * self.bits]
         parts = code.reshape(len(unit), self.tables, self.bits)
         return parts.astype(np.int64) @ (1 << np.arange(self.bits, dtype=np.int64))
 
@@ -51,11 +54,16 @@ def tables_for(rows: int, least: float, recall: float, per_bucket: int = 8) -> t
 
 
 def learn(sample: np.ndarray, tables: int, bits: int, turns: int = 30) -> Quantiser:
-    mean = sample.mean(0)
-    x = sample - mean
-    width = min(x.shape)
-    count = ceil(tables * bits / width)
-    return Quantiser(mean, np.stack([itq(x, turns, seed) for seed in range(count)]), tables, bits)
+    count = ceil(tables * bits / min(sample.shape))
+    return Quantiser(np.stack([itq(sample, turns, seed) for seed in range(count)]), tables, bits)
+
+
+def comparisons(model: Quantiser, sample: np.ndarray, labels: np.ndarray) -> float:
+    """How many times over a pair of one label is compared in the buckets, on average over the pairs of a sample."""
+    keys = model.keys(sample)
+    pairs = lambda columns: float((np.square(np.unique(columns, axis=0, return_counts=True)[1].astype(float))).sum() - len(labels))
+    every = pairs(labels[:, None])
+    return sum(pairs(np.stack([labels, k], 1)) for k in keys.T) / every if every else 0.0
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -229,7 +237,9 @@ def near_vectors(
     Vectors of one label and dimension are linked when their cosine, in doubles, is at least ``least``.
     The rotations are learned from about ``sample`` vectors; all are indexed. Key length and number of
     tables follow from the number of vectors, so buckets stay small, and from ``recall``, the wanted
-    share of pairs at the threshold itself; closer pairs are found more often.
+    share of pairs at the threshold itself; closer pairs are found more often. A direction that the
+    vectors have in common fills the buckets; where they would compare a pair more than once on average,
+    all pairs of a label are compared instead, once and in blocks.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those without a label,
     have no links and are their own component. Equal vectors are links of each other. Repeated rows are
@@ -247,11 +257,15 @@ def near_vectors(
         tables, bits = tables_for(largest, least, recall)
         total = classes.count()
         share = min(1.0, sample / total)
-        some = classes.filter(unit_hash("class") < F.lit(int(share * (1 << 31)))).select("unit").toArrow()
+        some = classes.filter(unit_hash("class") < F.lit(int(share * (1 << 31)))).select("label", "unit").toArrow()
         matrix = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in some.column("unit")]) if some.num_rows else np.zeros((0, size // 8))
         if len(matrix) < 2:
             matrix = np.concatenate([matrix, np.eye(size // 8)[:2], -np.eye(size // 8)[:2]])
-        results.append((classes, staged(find_links(keyed(classes, learn(matrix, tables, bits)), least))))
+        model = learn(matrix, tables, bits)
+        of_label = np.unique(some.column("label").to_pylist(), return_inverse=True)[1].astype(np.int64)
+        if len(of_label) == len(matrix) and comparisons(model, matrix, of_label) >= 1:
+            model = Quantiser(model.rotations, 1, 0)  # all pairs once are fewer, and exact
+        results.append((classes, staged(find_links(keyed(classes, model), least))))
     own_id = F.col("vec_id").alias("component_id")
     if not results:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), own_id, F.lit(True).alias("kept"))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from floorledger.llm import embedding_itq as itq
 from floorledger.llm.embedding_itq import near_vectors
@@ -91,3 +92,34 @@ def test_rotation_brings_data_closer_to_its_signs():
     assert loss(itq.itq(x, 40, 0)) < loss(itq.itq(x, 0, 0))
     tables, bits = itq.tables_for(5000, 0.93, 0.99)
     assert 1 - (1 - (1 - math.acos(0.93) / math.pi) ** bits) ** tables >= 0.99
+
+
+def leaning(count, norm, dims=64, label=0):
+    """Unit vectors around a common direction, their mean of about ``norm``, a third of them with a partner at 0.93 to 0.95."""
+    random = np.random.default_rng(31)
+    line = np.eye(dims)[0]
+    x = random.normal(size=(count, dims))
+    x[:, 0] = 0
+    x = norm * line + math.sqrt(1 - norm * norm) * x / np.linalg.norm(x, axis=1)[:, None]
+    u, w = x[: count // 3], x[count // 3 : 2 * (count // 3)]
+    w = w - (w * u).sum(1)[:, None] * u
+    cosine = random.uniform(0.931, 0.95, size=(len(u), 1))
+    partner = cosine * u + np.sqrt(1 - cosine**2) * w / np.linalg.norm(w, axis=1)[:, None]
+    return [(k, [float(v) for v in np.float32(v)], label, None) for k, v in enumerate(np.concatenate([x, partner]))]
+
+
+@pytest.mark.parametrize("norm", [0.6, 0.9, 0.98])  # the last is one tight group
+def test_links_are_found_among_vectors_with_a_common_direction(spark, norm):
+    rows = leaning(600, norm)
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = brute(rows, 0.93)
+    found, there = sum(r["n_links"] for r in got), sum(r[1] for r in want)
+    assert there >= 400 and 0.99 * there <= found <= there
+
+
+def test_keys_agree_as_often_as_the_angle_says_wherever_the_mean_lies():
+    for norm in (0.0, 0.5, 0.9):
+        x = np.array([r[1] for r in leaning(1500, norm)])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        keys = itq.learn(x, *itq.tables_for(len(x), 0.93, 0.995)).keys(x)
+        assert (keys[:500] == keys[1500:]).any(1).mean() >= 0.985
