@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from math import ceil
+from collections import defaultdict
+from math import ceil, inf
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +25,32 @@ def _numbers(values: list) -> Column:
     return F.split(F.lit(" ".join(map(str, values)) or "0"), " ").cast("array<double>")
 
 
+def admission(wanted: list[list[int]], room: list[int]) -> list[float]:
+    """The share of its wishes that each shard admits: the largest with which arrivals fit into room and departures.
+
+    ``wanted[s][t]`` rows want to go from s to t.
+    """
+    n = range(len(room))
+    total = [sum(wanted[s][t] for s in n) for t in n]
+    share = [1.0] * len(room)
+    for _ in range(200):
+        leaving = [sum(w * x for w, x in zip(wanted[s], share, strict=True)) for s in n]
+        less = [min(share[t], max(0.0, (room[t] + leaving[t]) / total[t])) if total[t] else 1.0 for t in n]
+        done = max(a - b for a, b in zip(share, less, strict=True)) < 1e-4
+        share = less
+        if done:
+            break
+    return share
+
+
 def propagate(linked: DataFrame, size: int, shards: int, rounds: int) -> DataFrame:
     """Move the rows of ``linked`` (``group, shard, order`` and others) towards the shard most of their group is in.
 
     The rows of a group are neighbours of each other. A round counts each group's rows per shard, picks
-    the shard with most of them among those with room, and admits the rows that want to go there up to
-    the shard's quota: its ``size`` less its linked rows, as unlinked rows may be anywhere and make way.
-    Rows are admitted by a hash, so a quota holds on average; the caller settles the rest exactly.
+    the shard with most of them, and admits the rows that want to go there up to the shard's quota: its
+    ``size`` less its linked rows, as unlinked rows may be anywhere and make way, and the linked rows
+    that leave it in the same round, so full shards exchange rows. Ties are drawn anew in each round.
+    Rows are admitted by a hash, so a quota holds on average; ``gather`` settles the rest exactly.
     A group is judged by its counts per shard, so the work of a round is one aggregation and one join.
     """
     now = linked
@@ -38,27 +58,17 @@ def propagate(linked: DataFrame, size: int, shards: int, rounds: int) -> DataFra
         counts = now.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("here"))
         counts = staged(counts)
         load = _per_shard(counts, "shard", F.sum("here"), shards)
-        room = [max(0, size - x) for x in load]  # at most ``size`` linked rows fit
-        rank = F.struct(
-            "here",
-            F.element_at(_numbers(room), F.col("shard") + 1).alias("room"),
-            F.xxhash64("group", "shard").alias("tie"),
-            "shard",
-        )
-        open_ = F.element_at(_numbers(room), F.col("shard") + 1) > 0
-        # a group stays with its largest part, or gathers at the largest part that has room
-        best = counts.groupBy("group").agg(
-            F.max(F.when(open_, rank)).alias("open"), F.max(rank).alias("top"), F.count(F.lit(1)).alias("parts")
-        )
-        best = best.filter("parts > 1 AND open IS NOT NULL").select(
-            "group", F.col("open.shard").alias("to"), F.col("open.here").alias("there")
-        )
-        wishes = staged(counts.join(best, "group").filter("shard <> to AND here <= there"))
-        wanted = _per_shard(wishes, "to", F.sum("here"), shards)
-        if not any(wanted):
+        rank = F.struct("here", F.xxhash64("group", "shard", F.lit(turn)).alias("tie"), "shard")
+        best = counts.groupBy("group").agg(F.max(rank).alias("top"), F.count(F.lit(1)).alias("parts"))
+        best = best.filter("parts > 1").select("group", F.col("top.shard").alias("to"))
+        wishes = staged(counts.join(best, "group").filter("shard <> to"))
+        wanted = [[0] * shards for _ in range(shards)]
+        for row in wishes.groupBy("shard", "to").agg(F.sum("here").alias("v")).collect():  # at most shards^2
+            wanted[row["shard"]][row["to"]] = row["v"]
+        share = admission(wanted, [size - x for x in load])
+        if sum(w * x for row in wanted for w, x in zip(row, share, strict=True)) < 1:
             dropped(counts), dropped(wishes)
             break
-        share = [min(1.0, r / w) if w else 0.0 for r, w in zip(room, wanted, strict=True)]
         moves = wishes.select("group", "shard", "to")
         admitted = unit_hash("order", F.lit(turn)) / F.lit(float(1 << 31)) < F.element_at(_numbers(share), F.col("to") + 1)
         out = now.join(moves, ["group", "shard"], "left")
@@ -71,15 +81,122 @@ def propagate(linked: DataFrame, size: int, shards: int, rounds: int) -> DataFra
     return now
 
 
+def place(pieces: dict[tuple[int, int], int], targets: list[int]) -> list[tuple[int, int, int, int, int, int]]:
+    """Where groups go so that as many as possible are whole and no shard holds more than its target.
+
+    ``pieces[shard, size]`` is the number of groups of one size that are whole in a shard, those with
+    shard -1 are in several. Returns ``(shard, size, first, last, to, cut)``: of these groups, numbered
+    from 0, those from ``first`` to before ``last`` go to ``to``; all others stay. Larger groups come first, into free room
+    and then into the place of smaller whole ones, which are placed later. A group is ``cut`` if neither
+    is left for it in any shard; at most about one group per shard is.
+    """
+    held: list[dict[int, int]] = [{} for _ in targets]
+    waiting: dict[int, list[list[int]]] = defaultdict(list)
+    gone: dict[tuple[int, int], int] = defaultdict(int)
+    out = []
+    for (s, z), n in pieces.items():
+        if s < 0:
+            waiting[z].append([s, 0, n])
+        else:
+            held[s][z] = n
+    free = [t - sum(z * n for z, n in h.items()) for t, h in zip(targets, held, strict=True)]
+
+    def leave(s: int, z: int, n: int) -> int:
+        if n:
+            waiting[z].append([s, gone[s, z], gone[s, z] + n])
+            gone[s, z] += n
+            held[s][z] -= n
+            free[s] += n * z
+        return n * z
+
+    def make_room(s: int, need: int, below: float) -> None:
+        sizes = sorted(z for z, n in held[s].items() if n and z < below)
+        for z in reversed(sizes):
+            need -= leave(s, z, min(held[s][z], need // z))
+        for z in sizes:
+            if need > 0:
+                need -= leave(s, z, min(held[s][z], -(-need // z)))
+
+    def go(z: int, n: int, to: int, cut: int) -> None:
+        while n:
+            s, first, last = lot = queue[-1]
+            k = min(n, last - first)
+            out.append((s, z, first, first + k, to, cut))
+            lot[1] += k
+            n -= k
+            if lot[1] == last:
+                queue.pop()
+
+    for s, x in enumerate(free):
+        if x < 0:
+            make_room(s, -x, inf)
+    while waiting:
+        z = max(waiting)
+        queue = waiting.pop(z)
+        left = sum(last - first for _, first, last in queue)
+        for s in sorted(range(len(free)), key=lambda s: -free[s]):
+            n = max(0, min(left, free[s] // z))
+            go(z, n, s, 0)
+            free[s] -= n * z
+            left -= n
+        if left:
+            most = [x + sum(y * n for y, n in h.items() if y < z) for x, h in zip(free, held, strict=True)]
+            for s in sorted(range(len(free)), key=lambda s: -most[s]):
+                n = max(0, min(left, most[s] // z))
+                if n:
+                    make_room(s, n * z - free[s], z)
+                    go(z, n, s, 0)
+                    free[s] -= n * z
+                    left -= n
+        for _ in range(left):
+            rest, to = z, max(range(len(free)), key=lambda s: free[s])
+            go(z, 1, to, 1)
+            while rest > 0 and max(free) > 0:
+                s = max(range(len(free)), key=lambda s: free[s])
+                taken = min(rest, free[s])
+                free[s] -= taken
+                rest -= taken
+    return out
+
+
+def gather(linked: DataFrame, targets: list[int]) -> DataFrame:
+    """Make the groups of ``linked`` whole that propagation left in several shards, and mark the rows of those that
+    must be ``cut``; afterwards the whole groups of a shard fit its target.
+
+    Only the number of groups per shard and size reaches the driver. Groups find their place from their
+    number among those of one shard and size.
+    """
+    counts = staged(linked.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("here")))
+    groups = counts.groupBy("group").agg(F.count(F.lit(1)).alias("parts"), F.max("shard").alias("own"), F.sum("here").alias("members"))
+    groups = groups.select("group", F.when(F.col("parts") > 1, -1).otherwise(F.col("own")).alias("own"), "members")
+    groups = staged(groups.withColumn("at", unit_hash("group", F.lit(17))))
+    sizes = {(r["own"], r["members"]): r["count"] for r in groups.groupBy("own", "members").count().collect()}
+    plan = place(sizes, targets)
+    if not plan:
+        return linked.withColumn("cut", F.lit(False))
+    text = F.lit(";".join(" ".join(map(str, x)) for x in plan))
+    ranges = linked.sparkSession.range(1).select(F.explode(F.split(text, ";")).alias("x"))
+    ranges = ranges.select(F.split("x", " ").cast("array<long>").alias("x"))
+    names = ("own", "members", "first", "last", "to", "cut")
+    ranges = ranges.select(*(F.col("x")[i].alias(c) for i, c in enumerate(names)))
+    # small buckets, as a size can have most of the groups
+    ranked = numbered(groups, ["own", "members"], "at", 10 * sum(sizes.values()), ties=["group"])
+    goes = ranked.join(F.broadcast(ranges), ["own", "members"]).filter("n >= first AND n < last").select("group", "to", "cut")
+    moves = counts.join(goes, "group").select("group", "shard", "to", "cut")
+    out = linked.join(moves, ["group", "shard"], "left")
+    return out.withColumns({"shard": F.coalesce(F.col("to").cast("int"), "shard"), "cut": F.coalesce(F.col("cut") == 1, F.lit(False))}).drop("to")
+
+
 def settle(rows: DataFrame, targets: list[int], shards: int) -> DataFrame:
     """Give every shard exactly its target and its rows gapless slots.
 
-    ``rows`` holds ``shard``, ``order`` and ``loose``. The rows of a shard are numbered, linked ones
-    first; those beyond the target fill the gaps of other shards in turn.
+    ``rows`` holds ``shard``, ``order``, ``loose`` and ``cut``. The rows of a shard are numbered, those of
+    whole groups first, then those of cut ones; those beyond the target fill the gaps of other shards in turn.
     """
     sizes = _per_shard(rows, "shard", F.count(F.lit(1)), shards)
-    # linked rows come in the lower half of the order
-    spread = (F.col("loose").cast("long") * (1 << 30) + F.shiftright("order", 1)).cast("long")
+    # whole groups come in the lower half of the order, cut ones in the next quarter
+    late = F.lit(1 << 30) + F.col("loose").cast("long") * (1 << 29) + F.shiftright("order", 2)
+    spread = F.when(F.col("loose") | F.col("cut"), late).otherwise(F.shiftright("order", 1)).cast("long")
     placed = numbered(rows.withColumn("__spread", spread), ["shard"], "__spread", sum(sizes), ties=["order"])
     surplus, gap = [0], [0]
     for have, want in zip(sizes, targets, strict=True):
@@ -105,7 +222,9 @@ def shard_documents(
 
     Documents with equal texts are linked. The law is ``rows``: counts are at most one apart, whatever
     the groups are. Documents start in shards by a hash of their id, in equal numbers; propagation
-    gathers the groups. A group above the capacity of a shard is cut beforehand, by a hash of the id,
+    gathers the groups in up to ``rounds`` rounds, and those it leaves in several shards are placed by their
+    sizes, small ones making way for larger ones. Groups stay cut only where they fit no shard beside what
+    is placed, at most about one per shard. A group above the capacity of a shard is cut beforehand, by a hash of the id,
     into parts that fit one.
 
     A null text has 16 bytes, the CRC of the empty text, and is a group with other null texts, apart
@@ -137,7 +256,8 @@ def shard_documents(
     start = staged(start.drop("text_key", "members").withColumn("loose", F.col("group").isNull()))
 
     linked = propagate(start.filter("NOT loose"), capacity, shards, rounds)
-    joined = staged(start.filter("loose").unionByName(linked))
+    linked = gather(linked, targets)
+    joined = staged(start.filter("loose").withColumn("cut", F.lit(False)).unionByName(linked))
     out = settle(joined, targets, shards)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

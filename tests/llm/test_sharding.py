@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from floorledger.llm.sharding import shard_documents
+from floorledger.llm.sharding import admission, place, shard_documents
 
 SCHEMA = "doc_id long, text string, shard string"
 
@@ -41,3 +41,56 @@ def test_fewer_rows_than_shards_and_none(spark):
     got = shard_documents(spark.createDataFrame([(1, "a", None), (2, "a", None)], SCHEMA), 40).collect()
     assert sorted((r["shard"], r["slot"]) for r in got) == [(0, 0), (1, 0)]
     assert shard_documents(spark.createDataFrame([], SCHEMA), 40).count() == 0
+
+
+def spread(sizes):
+    """Rows of groups of these sizes."""
+    return [(k, f"text {g}", None) for k, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+
+
+@pytest.mark.parametrize(
+    "sizes, cut",
+    [
+        ([2] * 400, 0),  # every row has a copy and no shard has room
+        ([10] * 64 + [1] * 160, 0),
+        ([60] * 8 + [2] * 120 + [1] * 80, 0),  # the large ones need the place of small ones
+        ([70] * 9 + [2] * 85, 1),  # one large group more than shards
+    ],
+)
+def test_groups_are_whole_when_most_rows_have_copies(spark, sizes, cut):
+    got = shard_documents(spark.createDataFrame(spread(sizes), SCHEMA), 8).collect()
+    rows = Counter(r["shard"] for r in got)
+    assert len(got) == sum(sizes) and set(rows.values()) == {100}
+    assert Counter((r["shard"], r["slot"]) for r in got) == Counter((s, k) for s in range(8) for k in range(100))
+    texts = {}
+    for r in got:
+        texts.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert sum(len(x) > 1 for x in texts.values()) == cut
+
+
+def test_place_fits_targets_and_moves_each_group_once():
+    pick = random.Random(4)
+    for _ in range(200):
+        pieces = {(pick.randrange(-1, 5), pick.choice([2, 3, 7, 20, 55])): pick.randrange(1, 9) for _ in range(12)}
+        total = sum(z * n for (_, z), n in pieces.items())
+        targets = [total // 5 + (k < total % 5) for k in range(5)]
+        held, seen, cut = Counter(), set(), []
+        for (s, z), n in pieces.items():
+            held[s] += z * n
+        for s, z, first, last, to, broken in place(pieces, targets):
+            for k in range(first, last):
+                assert (s, z, k) not in seen and k < pieces[s, z]
+                seen.add((s, z, k))
+            held[s] -= z * (last - first)
+            if broken:
+                cut.append(z)
+            else:
+                held[to] += z * (last - first)
+        assert held[-1] == 0 and all(held[s] <= targets[s] for s in range(5))
+        assert len(cut) <= 5
+
+
+def test_full_shards_exchange_rows_and_nothing_enters_beyond_that():
+    assert admission([[0, 9], [9, 0]], [0, 0]) == [1.0, 1.0]
+    assert admission([[0, 6], [12, 0]], [0, 0]) == pytest.approx([0.5, 1.0])
+    assert admission([[0, 5], [0, 0]], [0, 0])[1] == 0.0
