@@ -37,15 +37,13 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     Runs of other bytes than letters count as one space, and every text begins and ends with one.
     """
     base, n = int(offsets[0]), len(offsets) - 1
-    body = np.insert(LETTERS[data[base : int(offsets[-1])]], offsets[:-1] - base, _SPACE)
-    starts = offsets[:-1] - base + np.arange(n)
-    text = np.repeat(np.arange(n), np.diff(offsets) + 1)
+    edges = np.stack([offsets[:-1], offsets[1:]], 1).reshape(-1) - base
+    body = np.insert(LETTERS[data[base : int(offsets[-1])]], edges, _SPACE)
+    text = np.repeat(np.arange(n), np.diff(offsets) + 2)
     keep = body != _SPACE
-    keep[1:] |= body[:-1] != _SPACE  # the first space of a run
-    keep[starts] = True
+    keep[1:] |= (body[:-1] != _SPACE) | (text[1:] != text[:-1])  # the first space of a run
+    keep[:1] = True
     body, text = body[keep], text[keep]
-    # a text's trailing space is the next one's leading space, if it has none of its own
-    body, text = np.append(body, np.uint8(_SPACE)), np.append(text, n - 1 if n else 0)
     wide = body.astype(np.uint64)
     found = []
     for size in LENGTHS:

@@ -51,6 +51,19 @@ def test_languages(spark):
     assert odd[9_000_005] == ["en"]  # letters, but of no learned n-gram: the most frequent language
 
 
+def test_ngrams_do_not_depend_on_the_place_in_the_range():
+    texts = [b"hola", b"", b" hola ", b"12", b"a", b"si, no", "día".encode(), b"hola", b"x"]
+
+    def of(given):
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in given]))) + 3
+        text, hashed = grams(np.frombuffer(b"abc" + b"".join(given) + b"zz", np.uint8), offsets)
+        return [sorted(hashed[text == i].tolist()) for i in range(len(given))]
+
+    alone = [of([t])[0] for t in texts]
+    assert of(texts) == alone and of(texts[::-1]) == alone[::-1]
+    assert alone[0] == alone[2] and len(alone[0]) == 3 + 4 + 3 + 2 and alone[1] == alone[3] == []
+
+
 def test_languages_without_anything_to_learn(spark):
     schema = "doc_id long, text string, lang string"
     assert identify_languages(spark.createDataFrame([], schema)).count() == 0
