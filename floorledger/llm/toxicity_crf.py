@@ -47,6 +47,29 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     return Tokens(text, start, end, word, _stems(body, start, end), first)
 
 
+def shortened(found: Tokens, offsets: np.ndarray, longest: int, piece: int = 256) -> Tokens:
+    """``found`` with about ``longest`` bytes of tokens of each longer text: whole sentences, those of more than ``piece``
+    tokens in pieces, drawn by a hash of their place and first word from all of the text."""
+    long = np.flatnonzero(np.diff(offsets) > longest)
+    if not len(long):
+        return found
+    keep, first = np.ones(len(found.word), bool), found.first.copy()
+    for t in long:
+        a, b = np.searchsorted(found.text, [t, t + 1])
+        if a == b:
+            continue
+        begins = found.first[a:b]
+        since = np.arange(b - a) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        begins = first[a:b] = since % piece == 0
+        at = np.flatnonzero(begins)
+        size = np.add.reduceat(found.end[a:b] - found.start[a:b] + 1, at)
+        drawn = np.argsort(mixed(found.word[a:b][at] + np.arange(len(at), dtype=np.uint64) * _CODES[0]), kind="stable")
+        chosen = np.zeros(len(at), bool)
+        chosen[drawn[np.cumsum(size[drawn]) - size[drawn] < longest]] = True
+        keep[a:b] = chosen[np.cumsum(begins) - 1]
+    return Tokens(found.text[keep], found.start[keep], found.end[keep], found.word[keep], found.stems[:, keep], first[keep])
+
+
 def _stems(body: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """(len(STEMS), tokens) hashes of the first bytes; 0 for shorter tokens."""
     out = np.zeros((len(STEMS), len(start)), np.uint64)
@@ -281,15 +304,15 @@ def fit_document(x: np.ndarray, y: np.ndarray, weight: np.ndarray, turns: int =
     return w
 
 
-def collect_sample(rows: DataFrame) -> Sample:
-    """The sample of ``text, y, weight`` rows; the caller bounds the rows. The distinct words of a batch travel
+def collect_sample(rows: DataFrame, longest: int) -> Sample:
+    """The sample of ``text, y, weight`` rows; the caller bounds the rows, ``longest`` what a text gives. The distinct words of a batch travel
     with their stems, the tokens as their numbers."""
 
     def run(batches):
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
             for a, b in groups(offsets, RANGE):
-                found = tokens(data, offsets[a : b + 1])
+                found = shortened(tokens(data, offsets[a : b + 1]), offsets[a : b + 1], longest)
                 known, at, own = np.unique(found.word, return_index=True, return_inverse=True)
                 given = {c: batch.column(c).slice(a, b - a).to_pylist() for c in ("y", "weight")}
                 parts = {
@@ -336,11 +359,11 @@ def chosen_ids(labels: DataFrame, label: str, most: int, toxic: float = 0.2) ->
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 2500, longest: int = 50_000) -> Field | None:
-    """Train on about ``most`` labelled texts of at most ``longest`` bytes."""
+    """Train on about ``most`` labelled texts, of those above ``longest`` bytes on about as many, in sentences."""
     ids = chosen_ids(labels, label, most)
-    rows = docs.filter((F.octet_length("text") <= longest)).select("doc_id", "text")
+    rows = docs.filter("text IS NOT NULL").select("doc_id", "text")
     rows = rows.join(F.broadcast(ids), "doc_id")  # at most about ``most`` ids
-    sample = collect_sample(rows)
+    sample = collect_sample(rows, longest)
     return fit_field(sample) if len(set(sample.y)) == 2 else None
 
 
@@ -391,15 +414,22 @@ def tag_documents(docs: DataFrame, field: Field | None, columns: list[str], cut:
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, cut: float = 0.5, most: int = 2500, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    cut: float = 0.5,
+    most: int = 2500,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    longest: int = 50_000,
 ) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted, spans`` (offending offsets in characters).
 
-    Learns from labelled rows whose id's crc32 mod 5 is not 0. Null and empty texts have no token and get
+    Learns from about ``most`` labelled rows whose id's crc32 mod 5 is not 0, of a text above ``longest``
+    bytes from about as many, in sentences drawn from all of it; all of every text is scored. Null and empty texts have no token and get
     the score of that; without labels of both kinds, or if nothing tells them apart, every score is 0.
     Repeated rows are scored alike, null ids kept, other columns ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col, 5, 0).alias("held_out"), F.col(text_col).alias("text"))
-    field = fit_toxicity(rows, labels, most=most)
+    field = fit_toxicity(rows, labels, most=most, longest=longest)
     out = tag_documents(rows, field, ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "score", (F.col("score") >= cut).cast("int").alias("predicted"), "spans")

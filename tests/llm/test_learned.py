@@ -133,6 +133,40 @@ def test_toxicity_held_out(spark, labels):
     assert all(f == f.strip(" .,!?\n") for f in found)
 
 
+def test_toxicity_is_learned_from_long_texts(spark):
+    random = np.random.default_rng(6)
+    vocabulary = np.array([f"w{i}x" for i in range(300)])
+
+    def text(bad):
+        sentences = [" ".join(random.choice(vocabulary, 8)) for _ in range(1800)]
+        for i in range(0, 1800 if bad else 0, 20):
+            sentences[i] += " filthy " + sentences[i][:12]
+        return ". ".join(sentences)
+
+    rows = [(k, text(k % 2 == 0)) for k in range(24)]
+    assert all(len(t) > 50_000 for _, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(k, 1 - k % 2) for k in range(24)], "doc_id long, toxic int")
+    got = {r["doc_id"]: (r["predicted"], r["spans"]) for r in toxicity(docs, known).collect()}
+    assert [got[k][0] for k in range(24)] == [1 - k % 2 for k in range(24)]
+    assert "filthy" in {rows[0][1][s["start"] : s["end"]] for s in got[0][1]}
+
+
+def test_long_texts_give_whole_sentences_up_to_the_bound():
+    texts = [b"one two. three", b" ".join(b"a%d b%d c%d." % (i, i, i) for i in range(400)), b"x " * 3000, b". " * 900, b"last one"]
+    of = lambda given: np.concatenate(([0], np.cumsum([len(t) for t in given])))
+    found = crf.tokens(np.frombuffer(b"".join(texts), np.uint8), of(texts))
+    short = crf.shortened(found, of(texts), 1000)
+    size = np.bincount(short.text, weights=short.end - short.start + 1, minlength=5)
+    assert 1000 <= size[1] < 1020 and 1000 <= size[2] < 1000 + 2 * 256 and size[3] == 0
+    for t in (0, 4):
+        assert (short.word[short.text == t] == found.word[found.text == t]).all()
+    assert short.first[short.text == 1].tolist() == [True, False, False] * (sum(short.text == 1) // 3)
+    assert short.start[short.text == 1].max() > 0.9 * found.start[found.text == 1].max()
+    alone = crf.tokens(np.frombuffer(texts[1], np.uint8), of(texts[1:2]))
+    assert (crf.shortened(alone, of(texts[1:2]), 1000).word == short.word[short.text == 1]).all()
+
+
 @pytest.mark.parametrize("n", [1, 7, 130, 500])
 def test_marginals_against_all_paths(n):
     random = np.random.default_rng(n)
