@@ -13,6 +13,7 @@ from floorledger.llm.mixing import mix
 from floorledger.llm.packing import pack
 from floorledger.llm.quality_fm import quality
 from floorledger.llm.sharding import shard_documents
+from floorledger.llm.spelling_trie import spelling_variants
 from floorledger.llm.toxicity_crf import toxicity
 from floorledger.llm.url_filter import Rule, url_filter
 
@@ -73,6 +74,10 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), max_repeats=MAX_REPEATS)
 
 
+def op11_spelling_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,6 +91,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_minhash_dedup,
         op10_temperature_mix,
+        op11_spelling_frontier,
     )
 }
 
