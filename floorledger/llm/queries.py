@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from floorledger.llm.common import table
 from floorledger.llm.embedding_itq import near_vectors
@@ -14,6 +15,7 @@ from floorledger.llm.packing import pack
 from floorledger.llm.quality_fm import quality
 from floorledger.llm.sharding import shard_documents
 from floorledger.llm.spelling_trie import spelling_variants
+from floorledger.llm.substring_automata import substring_dedup
 from floorledger.llm.toxicity_crf import toxicity
 from floorledger.llm.url_filter import Rule, url_filter
 
@@ -78,6 +80,11 @@ def op11_spelling_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,6 +99,7 @@ QUERIES = {
         op9_minhash_dedup,
         op10_temperature_mix,
         op11_spelling_frontier,
+        op12_suffix_automata,
     )
 }
 
