@@ -12,6 +12,7 @@ from floorledger.llm.language_id import identify_languages
 from floorledger.llm.minhash_dedup import near_dedup
 from floorledger.llm.mixing import mix
 from floorledger.llm.packing import pack
+from floorledger.llm.prefix_trie import conversation_trie
 from floorledger.llm.quality_fm import quality
 from floorledger.llm.sharding import shard_documents
 from floorledger.llm.spelling_trie import spelling_variants
@@ -85,6 +86,10 @@ def op12_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op13_prefix_unionfind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,6 +105,7 @@ QUERIES = {
         op10_temperature_mix,
         op11_spelling_frontier,
         op12_suffix_automata,
+        op13_prefix_unionfind,
     )
 }
 
