@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -14,41 +15,61 @@ from floorledger.llm.common import bounded_batches, numbered, staged, unit_hash
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 PLACES = f"{PIECES}, sequence_id long, offset int"
-#: Fixed value: how byte-level vocabularies of this kind cut a text into words.
+#: Fixed value: how the ``ByteLevel`` step of a tokenizer file cuts a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Settings of a tokenizer file under which its vocabulary alone decides the ids of a text without added tokens.
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "ignore_merges": False}
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes; special tokens' strings are ordinary text.
+    """Token ids of texts as little-endian unsigned 32-bit bytes, as ``tokenizers`` gives them without special tokens around.
 
-    ``path`` is a tokenizer file of a byte-level BPE whose ids are in the order of its merges. Its
-    vocabulary is run by ``tiktoken``, which gives the same ids as ``tokenizers`` at several times the
-    speed on the texts of a corpus, where most words are rare. It gives up on a run of white space of
-    about a million characters; such texts go through ``tokenizers``.
+    Strings of added tokens inside a text become those tokens. If ``path`` is the file of a plain
+    byte-level BPE whose ids are in the order of its merges, texts without such strings are run by
+    ``tiktoken``, which gives the same ids at several times the speed on the texts of a corpus, where
+    most words are rare. It gives up on a run of white space of about a million characters; such texts,
+    and all texts of any other kind of file, go through ``tokenizers``.
     """
 
     def __init__(self, path: str):
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        settings = json.loads(self.tokenizer.to_str())
+        self.added = [x["content"] for x in settings["added_tokens"]]
+        self.encoding = self._fast() if self._plain(settings) else None
+
+    @staticmethod
+    def _plain(settings: dict) -> bool:
+        step = settings["pre_tokenizer"] or {}
+        bytewise = step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and step.get("use_regex")
+        model = all(settings["model"].get(k) == v for k, v in PLAIN_MODEL.items())
+        return bool(bytewise and model and not settings["normalizer"] and not settings["truncation"] and not settings["padding"])
+
+    def _fast(self):
+        import tiktoken
+
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         # a byte is written as its own character if that is printable, else as one from 256 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         hidden = [b for b in range(256) if b not in shown]
         byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
         ranks = {bytes(byte[c] for c in token): rank for token, rank in vocabulary.items() if all(c in byte for c in token)}
-        ranks = {token: rank for token, rank in ranks.items() if rank < len(ranks)}
-        self.encoding = tiktoken.Encoding("vocabulary", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        if set(ranks.values()) != set(range(len(vocabulary) - sum(x in vocabulary for x in self.added))):
+            return None
+        return tiktoken.Encoding("vocabulary", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        try:
-            ids = self.encoding.encode_to_numpy(text, disallowed_special=())
-        except ValueError:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        ids = None
+        if self.encoding and not any(x in text for x in self.added):
+            try:
+                ids = self.encoding.encode_to_numpy(text, disallowed_special=())
+            except ValueError:
+                pass
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return ids.astype("<u4").tobytes()
 
 

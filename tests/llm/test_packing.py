@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -11,18 +12,45 @@ ROWS = [(1, "hello world"), (2, ""), (3, None), (4, "x " * 3000), (4, "x " * 300
 ROWS += [(100 + k, "word " * (k % 37)) for k in range(200)]
 
 
+def texts():
+    pick = random.Random(11)
+    marks = ["<|endoftext|>", "<|endoftext", "|>", " <|endoftext|> ", "<|endoftext|><|endoftext|>"]
+    ranges = [(32, 127), (0, 32), (160, 600), (0x3000, 0x3100), (0x1F600, 0x1F650), (0x2028, 0x2030), (0x660, 0x66A)]
+    for _ in range(400):
+        parts = ["".join(chr(pick.randrange(*pick.choice(ranges))) for _ in range(pick.randrange(1, 12))) for _ in range(pick.randrange(1, 9))]
+        yield pick.choice(["", " ", "\n"]).join(pick.choice([x, x, x, pick.choice(marks)]) for x in parts)
+    yield from ["", " ", "a  b", "it's I'll  ", "<|endoftext|>", "a <|endoftext|> b", "é ß\t\r\n 日本 😀 ²½ ١", "\x00\x1c\x85　"]
+    yield from ["A" * 5000, "\n" * 70, "a" * 100_000, "word <|endoftext|>" * 2000]
+
+
 def test_ids_are_those_of_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     encode = Encoder(tokenizer_path())
-    texts = ["", " ", "a  b", "it's I'll  ", "<|endoftext|>", "é ß\t\r\n 日本 😀 ²½ ١", "\x00\x1c\x85　", "A" * 500, "\n" * 70]
-    for t in texts:
+    assert encode.encoding is not None
+    assert np.frombuffer(encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    for t in texts():
         assert encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
     assert len(encode("\n" * 1_000_000)) > 0
 
 
+def test_other_tokenizer_files_go_through_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    settings = json.loads(Tokenizer.from_file(tokenizer_path()).to_str())
+    for change in ({"pre_tokenizer": {**settings["pre_tokenizer"], "add_prefix_space": True}}, {"normalizer": {"type": "Lowercase"}}):
+        path = str(tmp_path / "other.json")
+        with open(path, "w") as file:
+            json.dump({**settings, **change}, file)
+        plain, encode = Tokenizer.from_file(path), Encoder(path)
+        assert encode.encoding is None
+        for t in list(texts())[:60]:
+            assert encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_every_id_is_placed_once_and_sequences_have_no_gap(spark):
     capacity = 64
     got = pack(spark.createDataFrame(ROWS, "doc_id long, text string"), tokenizer_path(), capacity).collect()
@@ -49,6 +77,14 @@ def test_every_id_is_placed_once_and_sequences_have_no_gap(spark):
     assert len(bins) <= -(-total // capacity) + 1
 
 
+def test_columns_of_the_same_names_are_ignored(spark):
+    rows = [(d, t, "q", 7, 8, 9) for d, t in ROWS[:20]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, piece string, length int, n int, before int")
+    plain = pack(spark.createDataFrame(ROWS[:20], "doc_id long, text string"), tokenizer_path(), 64)
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(str, pack(frame, tokenizer_path(), 64).select(*key).collect())) == sorted(map(str, plain.select(*key).collect()))
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
 
