@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_rows(docs: DataFrame) -> Column:
+    """All columns as one struct, ``row``: whatever they are called, they clash with nothing that is added beside it."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """Bound what one Arrow batch carries: texts may be long, so rows alone are no bound."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floorledger.llm.common import staged
+from floorledger.llm.common import staged, whole_rows
 
 
 def normalised(text: Column) -> Column:
@@ -59,12 +59,13 @@ def exact_dedup(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one per group, with their columns unchanged."""
+    """The rows of ``docs`` that stay, one per group, with their columns unchanged, whatever they are called."""
     kept = exact_dedup(docs, id_col, text_col).filter("kept")
-    kept = staged(kept.groupBy(F.col("keep_id").alias("__id"), "text_sha256").agg(F.count(F.lit(1)).alias("copies")))
-    marked = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("text_sha256"))
+    kept = staged(kept.groupBy(F.col("keep_id").alias("kept_id"), "text_sha256").agg(F.count(F.lit(1)).alias("copies")))
+    content = F.sha2(normalised(F.col(text_col)), 256)
+    marked = docs.select(whole_rows(docs), F.col(id_col).alias("id"), content.alias("content"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("content") == F.col("text_sha256"))
     out = marked.join(kept, same, "left_semi")
     if not kept.filter("copies > 1").isEmpty():  # ids repeat
-        out = out.dropDuplicates([id_col, "__sha"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["id", "content"])
+    return out.select("row.*")

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from floorledger.llm.common import bounded_batches, dropped, staged
+from floorledger.llm.common import bounded_batches, dropped, staged, whole_rows
 from floorledger.llm.components import components
 from floorledger.llm.textarrays import SPACES, byte_table, column_bytes, groups, mixed, words
 
@@ -102,7 +103,8 @@ def band_keys(table: np.ndarray, banding: Banding) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, banding: Banding) -> DataFrame:
-    """``doc_id, key, n, bands, sketch`` of ``doc_id, text``; ``key`` names the set, ``sketch`` has a byte per bin."""
+    """``key, n, bands, sketch`` of ``text``, beside all other columns; ``key`` names the set, ``sketch`` has a byte per bin."""
+    beside = [c for c in docs.columns if c != "text"]
 
     def run(batches):
         for batch in batches:
@@ -116,11 +118,14 @@ def signatures(docs: DataFrame, banding: Banding) -> DataFrame:
                 bands = pa.ListArray.from_arrays(cuts, pa.array(band_keys(table, banding).view(np.int64).reshape(-1)))
                 sketch = pa.array([x.tobytes() for x in mixed(table).astype(np.uint8)], pa.binary())
                 size = pa.array(np.bincount(owner, minlength=n))
-                ids = batch.column("doc_id").slice(a, n)
-                yield pa.RecordBatch.from_arrays([ids, keys, size, bands, sketch], ["doc_id", "key", "n", "bands", "sketch"])
+                others = [batch.column(c).slice(a, n) for c in beside]
+                yield pa.RecordBatch.from_arrays([*others, keys, size, bands, sketch], [*beside, "key", "n", "bands", "sketch"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n long, bands array<long>, sketch binary")
+    schema = docs.select(*beside).schema
+    for name, kind in (("key", "binary"), ("n", "long"), ("bands", T.ArrayType(T.LongType())), ("sketch", "binary")):
+        schema = schema.add(name, kind)
+    return docs.select(*beside, "text").mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -275,6 +280,21 @@ def near_links(docs: DataFrame, classes: DataFrame, banding: Banding, percent: i
     return staged(second.union(block_links(rest, percent, banding.bins)))
 
 
+def near_classes(docs: DataFrame, percent: int, banding: Banding) -> tuple[DataFrame, DataFrame]:
+    """Of ``doc_id, text`` and other columns: each row's ``key, n`` beside the others and, for the keys of sets that are not empty, ``key, label, component_id``.
+
+    ``label`` names the component, ``component_id`` is its smallest id.
+    """
+    found = staged(signatures(docs, banding))
+    first = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]
+    classes = staged(found.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), *first))
+    labels = staged(components(near_links(docs, classes, banding, percent)).withColumnRenamed("vertex", "key"))
+    # classes without links are components of their own; only linked ones are joined with labels
+    names = classes.select("key", "rep").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    smallest = names.groupBy("label").agg(F.min("rep").alias("component_id"))
+    return found, names.join(smallest, "label").select("key", "label", "component_id")
+
+
 def near_dedup(
     docs: DataFrame, percent: int = 85, banding: Banding = Banding(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -288,15 +308,8 @@ def near_dedup(
     table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = staged(signatures(docs, banding))
-    first = [F.first(c).alias(c) for c in ("n", "bands", "sketch")]
-    classes = staged(found.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), *first))
-    labels = staged(components(near_links(docs, classes, banding, percent)).withColumnRenamed("vertex", "key"))
-    # classes without links are components of their own; only linked ones are joined with labels
-    names = classes.select("key", "rep").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    smallest = names.groupBy("label").agg(F.min("rep").alias("component_id"))
-    names = names.join(smallest, "label").select("key", "component_id")
-    some = found.filter("n > 0").select("doc_id", "key", "n").join(names, "key")
+    found, names = near_classes(docs, percent, banding)
+    some = found.filter("n > 0").select("doc_id", "key", "n").join(names.select("key", "component_id"), "key")
     none = found.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = some.select("doc_id", "n", "component_id").unionByName(none)
     return out.select(
@@ -304,7 +317,23 @@ def near_dedup(
     )
 
 
-def keep_one(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document stays, with their columns unchanged."""
-    kept = near_dedup(docs, percent, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
+def keep_one(docs: DataFrame, percent: int = 85, banding: Banding = Banding(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns unchanged, whatever they are called.
+
+    Of each component one row with its smallest id stays, ids and texts repeated or not; rows without
+    words are linked with nothing and all stay.
+    """
+    text_key = F.xxhash64(F.col(text_col)).alias("text_key")
+    marked = docs.select(whole_rows(docs), F.col(id_col).cast("long").alias("id"), text_key, F.col(text_col).alias("text"))
+    found, names = near_classes(marked.select(F.col("id").alias("doc_id"), "text_key", "text"), percent, banding)
+    some = found.filter("n > 0").join(names, "key").filter("doc_id <=> component_id")
+    each = some.groupBy("label", "text_key").agg(F.first("doc_id").alias("kept_id"), F.count(F.lit(1)).alias("copies"))
+    one = each.groupBy("label").agg(F.min(F.struct("text_key", "kept_id", "copies")).alias("one"))
+    none = found.filter("n = 0").select("text_key", F.col("doc_id").alias("kept_id"), F.lit(1).cast("long").alias("copies"))
+    kept = staged(one.select("one.*").unionByName(none.distinct()).withColumnRenamed("text_key", "kept_key"))
+    out = marked.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
+    if not kept.filter("copies > 1").isEmpty():  # rows repeat
+        words_ = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+        out = out.withColumn("apart", F.when(words_, F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+        out = out.dropDuplicates(["id", "text_key", "apart"])
+    return out.select("row.*")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorledger.llm.common import numbered, staged, unit_hash
+from floorledger.llm.common import numbered, staged, unit_hash, whole_rows
 
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
@@ -92,69 +93,89 @@ def plan_mix(
     return Mix(exponent, total, weights, repeats(totals, weights, total))
 
 
-def repeated(
-    docs: DataFrame,
-    target_entropy: float | None = None,
-    max_repeats: float | None = None,
-    budget: float | None = None,
-    seed: int = 7,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """The rows of ``docs`` once per use, plus a column ``__mix`` (tokens, epoch, position, weight, passes).
+SOURCES = "array<struct<key: string, weight: double, passes: double, whole: int, rest: double>>"
+
 
-    A source with p passes gives floor(p) whole permutations of its documents and the start of another,
-    up to the document that reaches its budget (documents whose order hash is equal go together). Each
-    pass has its own order, a hash of id and pass. The start of the last pass ends at one hash per
-    source, so texts are neither joined nor shuffled.
+def source_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """``key, weight, passes, whole, rest`` of each source, from one literal: no Python worker makes it."""
+    text = json.dumps([dict(zip(("key", "weight", "passes", "whole", "rest"), r, strict=True)) for r in rows])
+    return spark.range(1).select(F.from_json(F.lit(text), SOURCES).alias("rows")).select(F.inline("rows"))
+
+
+def source_key(source_col: str) -> Column:
+    """":" before a name keeps a null apart from every name."""
+    return F.coalesce(F.concat(F.lit(":"), F.col(source_col).cast("string")), F.lit(""))
+
+
+def _uses(base: DataFrame, counted: DataFrame, seed: int, **target) -> DataFrame:
+    """The rows of ``base`` (``id, key, tokens`` and others) once per use, with a struct ``mix``.
+
+    ``counted`` holds ``id, key, tokens`` of the same documents, staged. A source with p passes gives
+    floor(p) whole permutations of its documents and the start of another, up to the document that
+    reaches its budget (documents whose order hash is equal go together). Each pass has its own order, a
+    hash of id and pass. The start of the last pass ends at one hash per source, so ``base`` is neither
+    joined with documents nor shuffled.
     """
-    spark = docs.sparkSession
-    # ":" before a name keeps a null apart from every name
-    key = F.coalesce(F.concat(F.lit(":"), F.col(source_col).cast("string")), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), word_count(F.col(text_col)).alias("tokens"))
-    rows = staged(rows)
-    sums = rows.groupBy("key").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    sums = counted.groupBy("key").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     totals, count = {r["key"]: r["t"] for r in sums}, sum(r["n"] for r in sums)
-    plan = plan_mix(totals, target_entropy, max_repeats, budget)
+    plan = plan_mix(totals, **target)
     # a whole number that the division missed by a rounding is that number
     passes = {s: float(round(p)) if abs(p - round(p)) < 1e-9 else p for s, p in plan.passes.items()}
     passes = {s: p if totals[s] else 1.0 for s, p in passes.items()}
     table = [(s, plan.weights[s], p, int(p), (p - int(p)) * totals[s]) for s, p in passes.items()]
-    table = spark.createDataFrame(table, "key string, weight double, passes double, whole int, rest double")
+    table = staged(source_table(base.sparkSession, table))
 
     order = lambda epoch: unit_hash("id", epoch, F.lit(seed))
-    last = rows.join(F.broadcast(table.filter("rest > 0")), "key").withColumn("order", order(F.col("whole")))
+    last = counted.join(table.filter("rest > 0"), "key").withColumn("order", order(F.col("whole")))
     last = numbered(last, ["key"], "order", count, weight="tokens", ties=["id", "tokens"]).filter("before < rest")
     table = table.join(last.groupBy("key").agg(F.max("order").alias("until")), "key", "left")
-    table = staged(table.select(F.col("key").alias("__key"), F.struct("weight", "passes", "whole", "until").alias("__plan")))
-
-    # one row per source, so the table may be broadcast
-    out = docs.withColumn("__key", key).join(F.broadcast(table), "__key")
-    hashed = lambda epoch: unit_hash(F.col(id_col), epoch, F.lit(seed))
-    whole = F.col("__plan.whole")
-    again = hashed(whole) <= F.coalesce(F.col("__plan.until"), F.lit(-1))
-    epochs = F.sequence(F.lit(0), whole - F.when(again, 0).otherwise(1))
-    epochs = F.when((whole > 0) | again, epochs).otherwise(F.array().cast("array<int>"))
-    out = out.withColumn("__epoch", F.explode(epochs))
-    position = (F.col("__epoch") + hashed(F.col("__epoch")) / F.lit(float(1 << 31))) / F.col("__plan.passes")
-    use = F.struct(
-        word_count(F.col(text_col)).alias("tokens"),
-        F.col("__epoch").alias("epoch"),
-        F.least(position, F.lit(1 - 2**-53)).alias("position"),
-        F.col("__plan.weight").alias("weight"),
-        F.col("__plan.passes").alias("passes"),
-    )
-    return out.select(*docs.columns, use.alias("__mix"))
+    # one row per source, and staged: small tables are broadcast by their measured size
+    table = staged(table.select("key", F.struct("weight", "passes", "whole", "until").alias("plan")))
+
+    out = base.join(table, "key")
+    again = order(F.col("plan.whole")) <= F.coalesce(F.col("plan.until"), F.lit(-1))
+    epochs = F.sequence(F.lit(0), F.col("plan.whole") - F.when(again, 0).otherwise(1))
+    epochs = F.when((F.col("plan.whole") > 0) | again, epochs).otherwise(F.array().cast("array<int>"))
+    out = out.withColumn("epoch", F.explode(epochs))
+    position = (F.col("epoch") + order(F.col("epoch")) / F.lit(float(1 << 31))) / F.col("plan.passes")
+    position = F.least(position, F.lit(1 - 2**-53)).alias("position")
+    return out.select(*base.columns, F.struct("tokens", "epoch", position, "plan.weight", "plan.passes").alias("mix"))
 
 
-def mix(docs: DataFrame, blocks: int = 1000, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+def repeat_rows(
+    docs: DataFrame,
+    target_entropy: float | None = None,
+    max_repeats: float | None = None,
+    budget: float | None = None,
+    seed: int = 7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The rows of ``docs`` once per use, with their columns unchanged, whatever they are called."""
+    rows = docs.select(whole_rows(docs), F.col(id_col).alias("id"), source_key(source_col).alias("key"), word_count(F.col(text_col)).alias("tokens"))
+    target = {"target_entropy": target_entropy, "max_repeats": max_repeats, "budget": budget}
+    return _uses(rows, staged(rows.select("id", "key", "tokens")), seed, **target).select("row.*")
+
+
+def mix(
+    docs: DataFrame,
+    blocks: int = 1000,
+    target_entropy: float | None = None,
+    max_repeats: float | None = None,
+    budget: float | None = None,
+    seed: int = 7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """The mixed order: one row per use of a document,
-    ``doc_id, source, tokens, epoch, block, position, weight, passes``; ``options`` go to ``repeated``.
+    ``doc_id, source, tokens, epoch, block, position, weight, passes``.
 
     ``position`` in [0, 1) is the place in the whole mix: each source is spread evenly, so each of the
     ``blocks`` equal ranges of it holds the target weights; rows of one position go by (source, epoch,
-    doc_id). ``weight`` is the share of the budget that the source shall get.
+    doc_id). ``weight`` is the share of the budget that the source shall get. Texts are read once, for
+    their tokens.
 
     Tokens are words between ASCII white space. A null source is a source of its own. Documents without
     words cost nothing: they are part of each whole pass of their source, and a source of only such
@@ -162,14 +183,17 @@ def mix(docs: DataFrame, blocks: int = 1000, id_col: str = "doc_id", source_col:
     columns are ignored; an empty table gives no rows. One total per source reaches the driver: sources
     are names of corpora, not of documents.
     """
-    used = repeated(docs, id_col=id_col, source_col=source_col, **options)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("tokens"))
+    rows = staged(rows.withColumn("key", source_key("source")))
+    target = {"target_entropy": target_entropy, "max_repeats": max_repeats, "budget": budget}
+    used = _uses(rows, rows, seed, **target)
     return used.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        "__mix.tokens",
-        "__mix.epoch",
-        F.floor(F.col("__mix.position") * blocks).cast("int").alias("block"),
-        "__mix.position",
-        "__mix.weight",
-        "__mix.passes",
+        F.col("id").alias("doc_id"),
+        "source",
+        "mix.tokens",
+        "mix.epoch",
+        F.floor(F.col("mix.position") * blocks).cast("int").alias("block"),
+        "mix.position",
+        "mix.weight",
+        "mix.passes",
     )

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floorledger.llm.common import bounded_batches, staged, unit_hash
+from floorledger.llm.common import bounded_batches, staged, unit_hash, whole_rows
 from floorledger.llm.language_id import held_out
 from floorledger.llm.textarrays import SPACES, byte_table, column_bytes, groups, words
 
@@ -250,5 +250,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, most: int =
     """The rows of ``docs`` whose score is at least ``cut``, with their columns unchanged; nothing is shuffled."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = fit_quality(known, labels, most=most)
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    whole = docs.select(whole_rows(docs), F.col(text_col).alias("text"))
     return score_quality(whole, model, ["row"]).filter(F.col("score") >= cut).select("row.*")

@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -68,8 +69,51 @@ def test_run_is_its_stages(spark, stages):
     assert got == want
 
 
+AWKWARD = ["text_sha256", "a.b", "row", "key", "id", "copies", "content", "text_key", "kept_id", "score", "epoch", "plan", "mix", "n", "tick`s"]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_columns_of_any_name_pass_through(spark, stages, stage):
+    docs = stages[stage]
+    extra = docs.select("*", *[F.concat(F.lit(f"{k}:"), F.col("doc_id")).alias(c) for k, c in enumerate(AWKWARD)])
+    got = corpus_pipeline.STAGES[stage][1](spark, extra, SF)
+    if stage == 4:
+        assert got.count() == stages[5].count()
+        return
+    assert got.dtypes == extra.dtypes
+    rows = got.collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(ids(stages[stage + 1]))
+    assert all(r[c] == f"{k}:{r['doc_id']}" for r in rows for k, c in enumerate(AWKWARD))
+
+
+WORDS = " ".join(f"w{i}" for i in range(60))
+REPEATED = [(1, WORDS + " x"), (5, "other " * 9), (5, WORDS + " y"), (5, WORDS + " y"), (7, "q r s"), (7, "q  r s"), (7, "q r s")]
+REPEATED += [(None, "z " * 8), (None, None), (9, None), (9, None), (9, ""), (3, "t u v w x y z")]
+
+
+def table(rows):
+    return [(d, t, "en", "web", len(t or "")) for d, t in rows]
+
+
+def test_repeated_ids_through_every_stage(spark, stages):
+    docs = spark.createDataFrame(table(REPEATED), stages[0].schema)
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    near = pairs(corpus_pipeline.near(spark, docs, SF))
+    assert near.count((5, WORDS + " y")) == 0 and near.count((1, WORDS + " x")) == 1 and near.count((5, "other " * 9)) == 1
+    assert sum(d == 7 for d, _ in near) == 1 and sum(d == 9 for d, _ in near) == 3
+    assert len(near) == 9
+    exact = pairs(corpus_pipeline.exact(spark, docs, SF))
+    assert exact.count((5, WORDS + " y")) == 1 and sum(d == 7 for d, _ in exact) == 1
+    assert sum(t in (None, "") for _, t in exact) == 1
+    mixed = Counter(pairs(corpus_pipeline.mixing(spark, docs, SF)))
+    assert set(mixed) == set(pairs(docs)) and all(mixed[x] >= n for x, n in Counter(pairs(docs)).items())
+    good = corpus_pipeline.quality(spark, docs, SF)
+    assert good.columns == docs.columns and set(pairs(good)) <= set(pairs(docs))
+    assert corpus_pipeline.packing(spark, docs, SF).count() == len(REPEATED)
+
+
 def test_every_operator_is_registered():
     names = list(entry.queries())
     assert "pipeline" in names
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
     assert "op8_exact_dedup" in entry.oracle_sql()
