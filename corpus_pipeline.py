@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from floorledger.llm.common import staged, table
 from floorledger.llm.exact_dedup import keep_first
 from floorledger.llm.minhash_dedup import keep_one
-from floorledger.llm.mixing import repeated
+from floorledger.llm.mixing import repeat_rows
 from floorledger.llm.packing import pack
 from floorledger.llm.quality_fm import keep_good
 from floorledger.llm.queries import MAX_REPEATS, SEQUENCE_TOKENS, tokenizer_path
@@ -33,7 +33,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, those of small sources up to ``MAX_REPEATS`` times."""
-    return repeated(docs, max_repeats=MAX_REPEATS).select(*docs.columns)
+    return repeat_rows(docs, max_repeats=MAX_REPEATS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
