@@ -296,6 +296,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, most: int = MOST_CONTEN
     """
     found = staged(candidate_runs(docs, window))
     often = found.groupBy("mark").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("mark")
+    often = staged(often)  # counted apart from the join, which can then split a frequent fingerprint
     hits = staged(found.join(often, "mark"))
     dropped(found)
     one = [F.first(c).alias(c) for c in ("doc_id", "text_key", "at", "windows")]
