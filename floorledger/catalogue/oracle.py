@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from floorledger.catalogue.queries import NOBODY, SEARCH, SELECTED
+from floorledger.catalogue.queries import CORRECTED, NOBODY, SEARCH, SELECTED
 from floorledger.catalogue.views import OTHER, with_views
 
 # Month names.
@@ -374,6 +374,18 @@ FROM (SELECT *, CASE WHEN Mes >= '1996' THEN nullif(upload_seq, 0) END AS seq FR
             f"SELECT 'GETNET' AS Tipo, {number('rows')} FROM ops UNION ALL SELECT 'PREMIOS', {number('rows')} FROM prizes",
             "ops", "prizes",
         ),
+        "history_replaced": select(
+            f"""SELECT Voucher AS voucher, Mes, Attendant, Monto FROM ops WHERE Mes NOT IN (SELECT Mes FROM ops WHERE {CORRECTED})
+UNION ALL SELECT Voucher, Mes, Attendant, Monto * 2 FROM ops WHERE {CORRECTED}""",
+            "ops",
+        ),
+        "history_receipt": select(
+            " UNION ALL ".join(
+                f"SELECT '{kind}' AS Tipo, {number('read')}, count(DISTINCT Mes) AS months, {money()}, {number('written')} FROM {name}"
+                for kind, name in (("GETNET", "ops"), ("PREMIOS", "prizes"))
+            ),
+            "ops", "prizes",
+        ),
         # rollups and publishing
         "rollup_monthly": select(monthly("ops"), "ops"),
         "rollup_record": select(record("prizes"), "prizes"),

@@ -25,6 +25,8 @@ QUERIES: dict[str, Query] = {}
 SELECTED = ["ATT_1", "ATT_7", "ATT_13"]
 NOBODY = ["ATT_NONE"]
 SEARCH = "tt_1"
+CORRECTED = "Mes >= '1996-03' AND upload_seq = 1"
+SHARED = ["Tipo", "Fecha", "Jornada", "JornadaDia", "Mes", "Hora", "Monto", "Attendant", "IdCliente", "FormaPago"]
 
 
 def register(make: Query) -> Query:
@@ -435,6 +437,31 @@ def load_receipt(spark, sf_dir):
     return uploads.load_receipt(both)
 
 
+@register
+def history_replaced(spark, sf_dir):
+    """Two loads and a read: months of the second, corrected load replace those of the first, others stay."""
+    root = f"{work_folder(spark)}/history"
+    first = ops(spark, sf_dir)
+    history.create_tables(spark, root)
+    history.write_history(first, root)
+    history.write_history(first.where(CORRECTED).withColumn("Monto", F.col("Monto") * 2), root)
+    return history.read_history(spark, root, S.GETNET).select("voucher", "Mes", "Attendant", "Monto")
+
+
+@register
+def history_receipt(spark, sf_dir):
+    """Rows written per kind, as the writes themselves counted them, and what is there to be read."""
+    root = f"{work_folder(spark)}/history"
+    both = ops(spark, sf_dir).select(*SHARED).unionByName(prizes(spark, sf_dir).select(*SHARED))
+    written = history.write_history(both, root)
+    there = [history.read_history(spark, root, kind).select("Tipo", "Mes", "Fecha", "Monto") for kind in written]
+    read = facts.as_facts(there[0].unionByName(there[1])).groupBy("Tipo").agg(
+        facts.count_ops().alias("read"), F.countDistinct("Mes").alias("months"), amounts.sum_amount().alias("Monto")
+    )
+    rows = F.element_at(F.create_map(*[F.lit(x) for pair in written.items() for x in pair]), F.col("Tipo"))
+    return read.withColumn("written", rows.cast("long"))
+
+
 # --- rollups and publishing -----------------------------------------------------------------------
 
 

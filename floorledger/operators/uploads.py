@@ -17,13 +17,12 @@ def _order(upload: str) -> Column:
 
 
 def latest_uploads(batch: DataFrame, upload: str = "upload_seq") -> DataFrame:
-    """``Tipo, Mes, upload, rows``: the last upload that contains each kind and month, and its rows there.
+    """``Tipo, Mes, upload``: the last upload that contains each kind and month.
 
-    One pass over narrow columns, worked out once: it serves the filter, the counts and later batches.
+    One pass over narrow columns, worked out once: it serves the filter and later batches.
     """
-    each = batch.groupBy(*KEYS, _order(upload)).agg(F.count(F.lit(1)).alias("rows"))
-    last = each.groupBy(*KEYS).agg(F.max(F.struct("upload", "rows")).alias("last"))
-    return cut_lineage(last.select(*KEYS, "last.upload", "last.rows"))
+    last = batch.groupBy(*KEYS).agg(F.max(_order(upload)).alias("upload"))
+    return cut_lineage(last)
 
 
 def rows_of(batch: DataFrame, winners: DataFrame, upload: str = "upload_seq") -> DataFrame:

@@ -13,10 +13,11 @@ from floorledger.operators.headers import bad_sheets, bind_headers, sheet_header
 from floorledger.operators.selection import Selection, attendants
 from floorledger.operators.uploads import KEYS, latest_uploads, rows_of
 from floorledger.plans.report_set import Reports, generate_reports
-from floorledger.plans.rollup import write_rollups
+from floorledger.plans.rollup import has_rollups, write_rollups
 from floorledger.session import checkpoint_folder, cut_lineage
 from floorledger.sources.grid import pick_sheet, read_workbooks, rejected_files, stage_grid, unreadable, whole_sheets
 from floorledger.sources.history import receipt, write_history
+from floorledger.sources.versions import Replacement, snapshot
 
 
 @dataclass(frozen=True)
@@ -92,8 +93,9 @@ def replay(
 ) -> tuple[dict[str, int], DataFrame]:
     """Write a staged batch to the history and its rollups; returns rows per kind and the winners.
 
-    Repeating it replaces the same months with the same rows. The batch is scanned once for the winners,
-    which also hold the row counts, and once per table that is written.
+    Repeating it replaces the same months with the same rows. History and rollups change in one step, when
+    all is written; a root that has rollups keeps them. The batch is scanned once for the winners and once
+    per table that is written; the rows are counted by the writes.
     """
     batch = batch.withColumn("upload", F.struct("modified", "path"))
     winners = latest_uploads(batch, "upload")
@@ -101,13 +103,14 @@ def replay(
         before = earlier.groupBy(*KEYS).agg(F.max("upload").alias("before"))
         fresh = winners.join(before, KEYS, "left").where("before IS NULL OR upload >= before")
         winners = cut_lineage(fresh.drop("before"))
-    counts = winners.groupBy("Tipo").agg(F.sum("rows").alias("rows")).collect()  # one row per kind
-    written = {r["Tipo"]: r["rows"] for r in counts}
     latest = rows_of(batch, winners, "upload")
-    write_history(latest, root, written=written)
-    if rollups:
+    change = Replacement(batch.sparkSession, root)
+    written = write_history(latest, root, change=change)
+    if rollups or has_rollups(snapshot(batch.sparkSession, root)):
         for kind in written:
-            write_rollups(latest, root, kind)
+            write_rollups(latest, root, kind, change)
+    if written:
+        change.publish()
     return written, winners
 
 

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from floorledger import schema as S
 from floorledger.operators.facts import CLASS, as_facts, fold
 from floorledger.operators.selection import Selection
 from floorledger.plans.report_set import FactSet, Reports, generate_reports
 from floorledger.session import cut_lineage
-from floorledger.sources.history import replace_months, scan, store
+from floorledger.sources.history import scan, store
+from floorledger.sources.versions import Replacement, Snapshot, read_table
 
 PEOPLE_KEYS = ["Tipo", "Mes", "JornadaDia", "Hora", "Attendant", CLASS]
 MACHINE_KEYS = ["Tipo", "Mes", "Maquina", "Attendant", CLASS]
@@ -53,23 +55,34 @@ def report_bundle(
     return generate_reports(stage_facts(df, kind), kind, attendants, has_payment_type)
 
 
-def _path(root: str, table: str, kind: str) -> str:
-    return f"{root.rstrip('/')}/{table}_{kind.lower()}"
+def _table(table: str, kind: str) -> str:
+    return f"{table}_{kind.lower()}"
 
 
-def write_rollups(batch: DataFrame, root: str, kind: str) -> None:
+def has_rollups(state: Snapshot | None) -> bool:
+    return state is not None and any(t.startswith((PEOPLE_TABLE, MACHINE_TABLE)) for t in state.tables)
+
+
+def write_rollups(batch: DataFrame, root: str, kind: str, change: Replacement | None = None) -> None:
     """Replace the rollup months that occur in ``batch``, which must hold those months whole.
 
     The rows are taken in the form the history stores and returns them, so rollups and history give the
-    same reports.
+    same reports. With ``change``, its owner publishes: rollups and history then change at once.
     """
+    own = change or Replacement(batch.sparkSession, root)
     rollups = roll_up(scan(store(batch.where(F.col("Tipo") == kind), kind), kind))
-    replace_months(rollups.people, _path(root, PEOPLE_TABLE, kind), "Mes")
-    replace_months(rollups.machines, _path(root, MACHINE_TABLE, kind), "Mes")
+    own.write(rollups.people, _table(PEOPLE_TABLE, kind), "Mes")
+    own.write(rollups.machines, _table(MACHINE_TABLE, kind), "Mes")
+    if change is None:
+        own.publish()
 
 
-def read_rollups(spark: SparkSession, root: str, kind: str) -> FactSet:
+def read_rollups(spark: SparkSession, root: str, kind: str, number: int | None = None) -> FactSet:
     return FactSet(
-        spark.read.schema(f"{PEOPLE_FIELDS}, {FACT_FIELDS}").parquet(_path(root, PEOPLE_TABLE, kind)),
-        spark.read.schema(f"{MACHINE_FIELDS}, {FACT_FIELDS}").parquet(_path(root, MACHINE_TABLE, kind)),
+        read_table(spark, root, _table(PEOPLE_TABLE, kind), _fields(PEOPLE_FIELDS), "Mes", number),
+        read_table(spark, root, _table(MACHINE_TABLE, kind), _fields(MACHINE_FIELDS), "Mes", number),
     )
+
+
+def _fields(keys: str) -> T.StructType:
+    return T.StructType.fromDDL(f"{keys}, {FACT_FIELDS}")

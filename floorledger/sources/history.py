@@ -1,4 +1,4 @@
-"""History tables: storage form, scans, and the month-replacing sink."""
+"""History tables: storage form, scans, and the sink that replaces months."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from floorledger import schema as S
 from floorledger.operators.cleaning import NULL_TEXT
-from floorledger.operators.uploads import load_receipt
+from floorledger.sources.versions import Replacement, publish, read_table, snapshot
 
 TABLES = {S.GETNET: S.OPERATIONS_TABLE, S.PREMIOS: S.PRIZES_TABLE}
 TABLE_SCHEMAS = {S.GETNET: S.OPERATIONS_TABLE_SCHEMA, S.PREMIOS: S.PRIZES_TABLE_SCHEMA}
@@ -71,54 +71,31 @@ def scan(stored: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def table_path(root: str, kind: str) -> str:
-    return f"{root.rstrip('/')}/{TABLES[kind]}"
-
-
 def create_tables(spark: SparkSession, root: str) -> None:
-    """Make both history tables, empty, unless they are there. Existing rows are never touched."""
-    for kind, fields in TABLE_SCHEMAS.items():
-        spark.createDataFrame([], fields).write.mode("append").partitionBy("mes").parquet(
-            table_path(root, kind)
-        )
-
-
-def read_history(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """The history of one kind; months, columns and filters are pruned at the scan."""
-    fields = TABLE_SCHEMAS[kind]
-    stored = spark.read.schema(fields).parquet(table_path(root, kind))
-    return scan(stored.select(*fields.names), kind)
+    """Publish a first state without months, unless there is one. Existing rows are never touched."""
+    if snapshot(spark, root) is None:
+        publish(spark, root, lambda tables: tables or {table: {} for table in TABLES.values()})
 
 
-def replace_months(stored: DataFrame, path: str, month: str = "mes") -> None:
-    """Replace, in the table at ``path``, every month that occurs in ``stored``; other months stay.
-
-    One job: rows are rebalanced by month, which splits a large month over several tasks and files and
-    joins small ones, and dynamic overwrite swaps the months in at commit. Nothing is read from the
-    table. Rows with the same month from an empty batch cannot exist, so an empty batch changes nothing.
-    """
-    (
-        stored.hint("rebalance", F.col(month))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(month)
-        .parquet(path)
-    )
+def read_history(spark: SparkSession, root: str, kind: str, number: int | None = None) -> DataFrame:
+    """The history of one kind, now or in state ``number``; months, columns and filters are pruned at the scan."""
+    return scan(read_table(spark, root, TABLES[kind], TABLE_SCHEMAS[kind], number=number), kind)
 
 
 def write_history(
-    batch: DataFrame, root: str, null_text: str = NULL_TEXT, written: dict[str, int] | None = None
+    batch: DataFrame, root: str, null_text: str = NULL_TEXT, change: Replacement | None = None
 ) -> dict[str, int]:
     """Route a canonical batch by kind and replace its months; returns rows written per kind.
 
-    ``batch`` is read once per kind that has rows, so it should be a staged table partitioned by ``Tipo``,
-    and once more, narrow columns only, unless the rows per kind are given.
+    Every month that occurs in the batch is replaced in its kind's table, other months stay, and both
+    kinds change at once. The rows are counted by the writes. ``batch`` is read once per kind, so it
+    should be a staged table partitioned by ``Tipo``. With ``change`` its owner publishes.
     """
-    if written is None:
-        written = {r["Tipo"]: r["rows"] for r in load_receipt(batch).collect()}
-    for kind in written:
-        rows = batch.where(F.col("Tipo") == kind)
-        replace_months(store(rows, kind, null_text), table_path(root, kind))
+    own = change or Replacement(batch.sparkSession, root)
+    counts = {k: own.write(store(batch.where(F.col("Tipo") == k), k, null_text), table) for k, table in TABLES.items()}
+    written = {kind: rows for kind, rows in counts.items() if rows}
+    if change is None and written:
+        own.publish()
     return written
 
 

@@ -97,8 +97,7 @@ def follow_batches(
     def load(batch: DataFrame, _: int) -> None:
         staged = stage_batch(batch, f"{work_folder(batch.sparkSession, staging)}/batch")
         winners = latest_uploads(staged, upload)
-        counts = winners.groupBy("Tipo").agg(F.sum("rows").alias("rows")).collect()  # one row per kind
-        write_history(rows_of(staged, winners, upload), root, written={r["Tipo"]: r["rows"] for r in counts})
+        write_history(rows_of(staged, winners, upload), root)
 
     return (
         batches.writeStream.foreachBatch(load)

@@ -5,6 +5,7 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from floorledger import schema as S
 from floorledger.catalogue import queries as Q
@@ -12,7 +13,9 @@ from floorledger.operators.uploads import latest_upload_wins
 from floorledger.plans.load import load_folder, replay
 from floorledger.plans.report_set import generate_reports
 from floorledger.plans.rollup import read_rollups, write_rollups
-from floorledger.sources.history import create_tables, read_history, receipt, replace_months, write_history
+from floorledger.sources import versions
+from floorledger.sources.history import create_tables, read_history, receipt, write_history
+from floorledger.sources.versions import Replacement, expire, numbers, read_table, roll_back, snapshot
 from floorledger.streaming.drop_folder import follow_batches, follow_folder, read_errors
 from workbooks import write_workbook
 
@@ -53,6 +56,98 @@ def test_only_the_months_of_a_batch_are_replaced(spark, tmp_path):
     assert stored(spark, root) == [("2024-01", 1.0), ("2024-02", 9.0)]
 
 
+STEPS = ["operaciones", "premios", "rollup_people_getnet", "rollup_machines_getnet", "rollup_people_premios", "rollup_machines_premios"]
+
+
+class Broken(Exception):
+    pass
+
+
+def everything(spark, root):
+    """All rows of both histories, and all reports from the rollups."""
+    rows = [stored(spark, root, kind) for kind in (S.GETNET, S.PREMIOS)]
+    reports = [generate_reports(read_rollups(spark, root, kind), kind) for kind in (S.GETNET, S.PREMIOS)]
+    return rows, [[tuple(r) for r in one[S.MONTHLY_SUMMARY].collect()] for one in reports]
+
+
+def test_a_write_that_breaks_off_anywhere_changes_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    create_tables(spark, root)
+    extra = {"modified": F.lit(None).cast("timestamp"), "path": F.lit("p")}
+    both = lambda a, b: canonical(spark, a).unionByName(canonical(spark, b, S.PREMIOS)).withColumns(extra)
+    replay(both([((1, 5), 1.0), ((2, 5), 2.0)], [((2, 5), 3.0)]), root, rollups=True)
+    old, second = everything(spark, root), both([((2, 6), 7.0), ((3, 1), 8.0)], [((2, 7), 9.0), ((4, 7), 9.5)])
+    write, make = Replacement.write, versions.Folder.make
+
+    def after(step):
+        def stop(self, rows, table, month="mes"):
+            out = write(self, rows, table, month)
+            if table == step:
+                raise Broken
+            return out
+
+        return stop
+
+    def inside(step):
+        def stop(self, rows, table, month="mes"):
+            if table == step:
+                broken = rows.withColumn(month, F.when(F.col(month) > "2024-02", F.raise_error(F.lit("broken off"))).otherwise(F.col(month)))
+                return write(self, broken, table, month)
+            return write(self, rows, table, month)
+
+        return stop
+
+    for step in STEPS:
+        for how in (inside, after) if step in STEPS[1:3] else (after,):
+            monkeypatch.setattr(Replacement, "write", how(step))
+            with pytest.raises(Exception):  # noqa: B017
+                replay(second, root)
+            assert everything(spark, root) == old, (step, how)
+    monkeypatch.setattr(Replacement, "write", write)
+
+    def no_make(self, name, text):
+        raise Broken
+
+    monkeypatch.setattr(versions.Folder, "make", no_make)
+    with pytest.raises(Broken):
+        replay(second, root)
+    assert everything(spark, root) == old
+    monkeypatch.setattr(versions.Folder, "make", make)
+    assert replay(second, root)[0] == {S.GETNET: 2, S.PREMIOS: 2}
+    new = everything(spark, root)
+    assert new[0] == [[("2024-01", 1.0), ("2024-02", 7.0), ("2024-03", 8.0)], [("2024-02", 9.0), ("2024-04", 9.5)]]
+    assert [r[2] for r in new[1][0]] == [1.0, 7.0, 8.0] and [r[2] for r in new[1][1]] == [9.0, 9.5]
+    # back to the first load, and forth again
+    first = numbers(spark, root)[1]
+    roll_back(spark, root, first)
+    assert everything(spark, root) == old
+    roll_back(spark, root, first + 1)
+    assert everything(spark, root) == new
+    assert not expire(spark, root, keep=1)  # too young
+    gone = expire(spark, root, keep=1, hours=0.0)
+    assert len(gone) > 10 and everything(spark, root) == new and numbers(spark, root) == [snapshot(spark, root).number]
+
+
+def test_writers_beside_each_other_lose_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    create_tables(spark, root)
+    reader = read_history(spark, root, S.GETNET)
+    first, second = Replacement(spark, root), Replacement(spark, root)
+    write_history(canonical(spark, [((1, 5), 1.0), ((2, 5), 2.0)]), root, change=first)
+    write_history(canonical(spark, [((2, 6), 3.0), ((3, 6), 4.0)]), root, change=second)
+    assert stored(spark, root) == []
+    second.publish()
+    held = read_history(spark, root, S.GETNET)
+    first.publish()  # the last to publish supplies February
+    assert stored(spark, root) == [("2024-01", 1.0), ("2024-02", 2.0), ("2024-03", 4.0)]
+    assert sorted(r["Monto"] for r in held.collect()) == [3.0, 4.0] and reader.count() == 0
+    assert sorted(r["Monto"] for r in read_history(spark, root, S.GETNET, number=snapshot(spark, root).number - 1).collect()) == [3.0, 4.0]
+    taken = versions.Folder(spark, f"{root}/{versions.PUBLISHED}")
+    assert not taken.make(f"{snapshot(spark, root).number:012d}.json", "{}") and stored(spark, root)
+    with pytest.raises(FileNotFoundError):
+        read_history(spark, str(tmp_path / "nowhere"), S.GETNET)
+
+
 def test_empty_batch_writes_nothing(spark, tmp_path):
     root = str(tmp_path)
     create_tables(spark, root)
@@ -76,11 +171,13 @@ def test_a_large_month_is_written_in_several_files(spark, tmp_path):
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     try:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
-        replace_months(rows, str(tmp_path / "t"))
+        change = Replacement(spark, str(tmp_path))
+        assert change.write(rows, "t") == 200_000
+        change.publish()
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
-    assert len(list((tmp_path / "t" / "mes=2024-01").glob("*.parquet"))) > 1
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 200_000
+    assert len(list((tmp_path / "t" / f"version={change.version}" / "mes=2024-01").glob("*.parquet"))) > 1
+    assert read_table(spark, str(tmp_path), "t", StructType.fromDDL("t string, mes string")).count() == 200_000
 
 
 def test_history_scan_prunes_months_and_columns(spark, tmp_path, capsys):
