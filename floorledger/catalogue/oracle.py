@@ -220,6 +220,20 @@ DAY_FIRST = [
 ]
 
 
+BUNDLES = f"""SELECT 'carga ' || seq || '.xlsx' AS book, sheet, cast(row_idx AS integer) AS row_idx, name, ops, Monto FROM (
+SELECT upload_seq AS seq, 'Resumen Mensual' AS sheet, row_number() OVER (PARTITION BY upload_seq ORDER BY Mes) AS row_idx,
+  {label()} AS name, {number('ops')}, {money()} FROM ops GROUP BY upload_seq, Mes
+UNION ALL
+SELECT u.upload_seq, 'Operaciones por Hora', h.ord, cast(h.Hora AS varchar), coalesce(a.n, 0), coalesce(a.m, 0.0)
+FROM (SELECT DISTINCT upload_seq FROM ops) u CROSS JOIN (SELECT {HOURS} AS Hora, unnest(range(1, 24)) AS ord) h
+LEFT JOIN (SELECT upload_seq, Hora, {number("n")}, {money(name="m")} FROM ops GROUP BY upload_seq, Hora) a
+ON a.upload_seq = u.upload_seq AND a.Hora = h.Hora
+UNION ALL
+SELECT upload_seq, left('Total de conteo anual por asistente', 31),
+  row_number() OVER (PARTITION BY upload_seq ORDER BY count(*) DESC, Attendant), Attendant, {number()}, NULL FROM ops GROUP BY upload_seq, Attendant
+) s"""
+
+
 def build() -> dict[str, str]:
     sql = {
         # sheets
@@ -386,6 +400,18 @@ UNION ALL SELECT Voucher, Mes, Attendant, Monto * 2 FROM ops WHERE {CORRECTED}""
             ),
             "ops", "prizes",
         ),
+        "workbook_roundtrip": select(
+            """SELECT path AS book, sheet, row_idx, rtrim(array_to_string(list_transform(cells, lambda c: coalesce(c, '')), '|'), '|') AS text
+FROM grid WHERE sheet_idx = 0""",
+            "grid",
+        ),
+        "bundle_roundtrip": select(BUNDLES, "ops"),
+        "drop_folder_months": select(
+            f"""SELECT Mes, {number()}, {money()}, max(Voucher) AS last FROM (
+SELECT Mes, Monto, Voucher FROM ops WHERE Mes NOT IN (SELECT Mes FROM ops WHERE {CORRECTED})
+UNION ALL SELECT Mes, Monto * 2, Voucher FROM ops WHERE {CORRECTED}) s GROUP BY Mes""",
+            "ops",
+        ),
         # rollups and publishing
         "rollup_monthly": select(monthly("ops"), "ops"),
         "rollup_record": select(record("prizes"), "prizes"),

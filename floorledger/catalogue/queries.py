@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ from floorledger.plans.publish import chart_json, hour_chart, manifest, month_ch
 from floorledger.plans.report_set import generate_reports, prepare_reports
 from floorledger.plans.rollup import report_bundle, stage_facts
 from floorledger.session import cut_lineage
-from floorledger.sources import history
-from floorledger.sources.grid import pick_sheet, stage_grid
+from floorledger.sources import books, history
+from floorledger.sources.grid import pick_sheet, read_workbooks, stage_grid
+from floorledger.streaming.drop_folder import follow_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,6 +72,22 @@ def canonical(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return clean_grid(staged_grid(spark, sf_dir, name))[0]
 
 
+def typed_rows(spark: SparkSession, sf_dir: str, corrected: bool) -> DataFrame:
+    """Card operations as rows of workbooks, a book per year, or one book of corrected rows."""
+    rows = ops(spark, sf_dir)
+    if corrected:
+        rows = rows.where(CORRECTED).withColumn("Monto", F.col("Monto") * 2)
+    book = F.lit("zz_corrected") if corrected else F.concat(F.lit("ops_"), F.year("JornadaDia"))
+    named = {"Fecha": "Fecha", "Jornada": "Jornada", "Monto": "Monto", "Slot Attendant": "Attendant", "Voucher": "Voucher"}
+    same = [book.alias("book"), F.lit(0).alias("sheet_idx"), F.lit("Hoja1").alias("sheet")]
+    kinds = {f.name: f.dataType for f in rows.schema}
+    cells = F.array(*[books.cell(F.col(c), kinds[c]) for c in named.values()])
+    titles = F.array(*[F.struct(F.lit(books.TEXT).alias("kind"), F.lit(t).alias("value")) for t in named])
+    none = F.lit(None).cast("long").alias("row_idx")
+    data = rows.select(*same, (F.col("k") + 1).alias("ord"), none, cells.alias("cells"))
+    return data.unionByName(data.select("book").distinct().select(*same[1:], "book", F.lit(0).cast("long").alias("ord"), none, titles.alias("cells")))
+
+
 # --- sheets ---------------------------------------------------------------------------------------
 
 
@@ -155,6 +173,50 @@ def sheet_manifest(spark, sf_dir):
     return manifest(report_bundle(cut_lineage(canonical(spark, sf_dir, "prizes_grid")), S.PREMIOS))
 
 
+@register
+def workbook_roundtrip(spark, sf_dir):
+    """The grid written as workbooks and read again: every cell of the first sheets."""
+    folder = f"{work_folder(spark)}/books"
+    cells = F.transform("cells", lambda c: F.struct(F.lit(books.TEXT).alias("kind"), c.alias("value")))
+    rows = view(spark, sf_dir, "grid").withColumn("row_idx", F.col("row_idx").cast("long"))
+    rows = rows.select(F.col("path").alias("book"), "sheet_idx", "sheet", F.col("row_idx").alias("ord"), "row_idx", cells.alias("cells"))
+    books.save_books(rows, folder)
+    grid = pick_sheet(read_workbooks(spark, folder))
+    text = F.rtrim(F.array_join("cells", "|", ""), F.lit("|")).alias("text")
+    return grid.select(F.element_at(F.split("path", "/"), -1).alias("book"), "sheet", "row_idx", text)
+
+
+@register
+def bundle_roundtrip(spark, sf_dir):
+    """Report sets published as one workbook each, side by side, and three of their sheets read again."""
+    folder, batch = f"{work_folder(spark)}/bundles", ops(spark, sf_dir)
+    sets = {f"carga {n}": report_bundle(batch.where(F.col("upload_seq") == n), S.GETNET) for n in range(3)}
+    books.save_bundles(sets, folder)
+    found = []
+    for sheet in (S.MONTHLY_SUMMARY, S.HOURLY_OPERATIONS, S.ANNUAL_DETAIL[: S.SHEET_NAME_LIMIT]):
+        rows = pick_sheet(read_workbooks(spark, folder, sheet=sheet), sheet).where("row_idx > 0")
+        number = F.get("cells", F.lit(2)).cast("double") if sheet != S.ANNUAL_DETAIL[: S.SHEET_NAME_LIMIT] else F.lit(None).cast("double")
+        found.append(
+            rows.select(
+                F.element_at(F.split("path", "/"), -1).alias("book"), "sheet", "row_idx", F.get("cells", F.lit(0)).alias("name"),
+                F.get("cells", F.lit(1)).cast("long").alias("ops"), number.alias("Monto"),
+            )
+        )
+    return reduce(DataFrame.unionByName, found)
+
+
+@register
+def drop_folder_months(spark, sf_dir):
+    """Workbooks that arrive in a drop folder, then a corrected one: the months of the history after both runs."""
+    work = work_folder(spark)
+    history.create_tables(spark, f"{work}/root")
+    for corrected in (False, True):
+        books.save_books(typed_rows(spark, sf_dir, corrected), f"{work}/drop")
+        follow_folder(spark, f"{work}/drop", f"{work}/root", f"{work}/state").awaitTermination()
+    found = facts.as_facts(history.read_history(spark, f"{work}/root", S.GETNET)).groupBy("Mes")
+    return found.agg(facts.count_ops().alias("Operaciones"), amounts.sum_amount().alias("Monto"), F.max("voucher").alias("last"))
+
+
 # --- values ---------------------------------------------------------------------------------------
 
 

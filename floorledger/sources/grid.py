@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorledger import schema as S
 from floorledger.operators.lookups import lookup_join
-from floorledger.sources.workbook import workbook_rows
+from floorledger.session import checkpoint_folder
+from floorledger.sources.workbook import PIECE_BYTES, ROWS, STRINGS, piece_rows, piece_strings, string_uses, workbook_pieces, workbook_rows
 
 WORKBOOK_GLOB = "*.[xX][lL][sS][xX]"
 ROWS_PER_BATCH = 4096
+#: Workbooks of more bytes are cut into pieces.
+LARGE_FILE = 8 << 20
+END, WHOLE = "end", "whole"
 
 
 def is_workbook_name(name: Column) -> Column:
@@ -41,18 +47,149 @@ def _decode(batches: Iterator[pd.DataFrame], wanted: str | None) -> Iterator[pd.
             yield pd.DataFrame(pending, columns=columns)
 
 
-def decode_workbooks(files: DataFrame, sheet: str | None = None) -> DataFrame:
+def decode_workbooks(files: DataFrame, sheet: str | None = None, large: int = LARGE_FILE) -> DataFrame:
     """Grid of the first or named sheets of a ``binaryFile`` frame.
 
-    Every workbook is decoded in one task, many workbooks side by side. After its rows each gives a row
-    with ``row_idx = -1``, which holds its problem in ``error`` if it could not be read to the end: rows
-    before a damaged place are in the grid and must be left out (see ``whole_sheets``).
+    A workbook of up to ``large`` bytes is decoded in one task, many workbooks side by side; a larger one is
+    cut into pieces that all tasks decode (``decode_large``). After its rows each gives a row with
+    ``row_idx = -1``, which holds its problem in ``error`` if it could not be read to the end: rows before a
+    damaged place are in the grid and must be left out (see ``whole_sheets``).
     """
-    columns = files.select("path", "modificationTime", "content")
-    return columns.mapInPandas(lambda batches: _decode(batches, sheet), S.GRID_SCHEMA)
+    columns = ["path", "modificationTime", "content"]
+    small = files.where(F.col("length") <= large).select(*columns)
+    grid = small.mapInPandas(lambda batches: _decode(batches, sheet), S.GRID_SCHEMA)
+    big = files.where(F.col("length") > large)
+    if big.select("path").isEmpty():  # from the list of files; contents are not read
+        return grid
+    return grid.unionByName(decode_large(big.select(*columns), sheet))
+
+
+PIECES = pa.schema(
+    [
+        ("path", pa.string()),
+        ("modified", pa.timestamp("us", "UTC")),
+        ("sheet", pa.string()),
+        ("sheet_idx", pa.int32()),
+        ("kind", pa.string()),
+        ("piece", pa.int32()),
+        ("first", pa.int64()),
+        ("xml", pa.binary()),
+        ("dates", pa.list_(pa.int32())),
+        ("from_1904", pa.bool_()),
+        ("error", pa.string()),
+    ]
+)
+PIECE_ROWS = (
+    "path string, modified timestamp, sheet string, sheet_idx int, kind string, piece int, first long, xml binary, "
+    "dates array<int>, from_1904 boolean, error string"
+)
+GRID_ROWS = pa.schema(
+    [
+        *[PIECES.field(name) for name in ("path", "modified", "sheet", "sheet_idx")],
+        ("row_idx", pa.int32()),
+        ("cells", pa.list_(pa.string())),
+        ("error", pa.string()),
+    ]
+)
+STRING_ROWS = pa.schema([("path", pa.string()), ("id", pa.int64()), ("text", pa.string()), ("error", pa.string())])
+USE_ROWS = pa.schema([("path", pa.string()), ("piece", pa.int32()), ("id", pa.int64())])
+Batches = Iterator[pa.RecordBatch]
+
+
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def _reason(problem: Exception) -> str:
+    return str(problem) if isinstance(problem, LookupError) else f"{type(problem).__name__}: {problem}"
+
+
+def _cut_up(batches: Batches, wanted: str | None, size: int) -> Batches:
+    for files in batches:
+        for k in range(files.num_rows):  # one content at a time
+            path, modified, content = (files.column(c)[k].as_py() for c in ("path", "modificationTime", "content"))
+            same, error = {"path": path, "modified": modified}, None
+            try:
+                found = workbook_pieces(content, wanted, size)
+                if found is None:  # not to be cut: decoded as a whole
+                    yield _batch([same | {"kind": WHOLE, "xml": content}], PIECES)
+                    continue
+                about, pieces = found
+                for p in pieces:
+                    row = {"kind": p.kind, "piece": p.number, "first": p.first, "xml": p.xml}
+                    yield _batch([same | about | row], PIECES)
+            except Exception as problem:  # one unreadable upload must not end the job
+                error = _reason(problem)
+            yield _batch([same | {"kind": END, "error": error}], PIECES)
+
+
+def _decode_pieces(batches: Batches) -> Batches:
+    for pieces in batches:
+        for p in pieces.to_pylist():
+            same = {"path": p["path"], "modified": p["modified"]}
+            about = same | {"sheet": p["sheet"], "sheet_idx": p["sheet_idx"]}
+            strings = {x["id"]: x["text"] for x in p["strings"] or []}
+            rows: list[dict] = []
+            try:
+                for number, cells in piece_rows(p["xml"], p["first"], strings, set(p["dates"]), p["from_1904"]):
+                    rows.append(about | {"row_idx": number, "cells": cells})
+            except Exception as problem:
+                rows.append(same | {"sheet_idx": 0, "row_idx": -1, "error": _reason(problem)})
+            yield _batch(rows, GRID_ROWS)
+
+
+def _find_uses(batches: Batches) -> Batches:
+    for pieces in batches:
+        for p in pieces.to_pylist():
+            yield _batch([{"path": p["path"], "piece": p["piece"], "id": k} for k in string_uses(p["xml"])], USE_ROWS)
 
 
-def read_workbooks(spark: SparkSession, folder: str, recursive: bool = True, sheet: str | None = None) -> DataFrame:
+def _read_strings(batches: Batches) -> Batches:
+    for pieces in batches:
+        for p in pieces.to_pylist():
+            try:
+                rows = [{"path": p["path"], "id": k, "text": text} for k, text in piece_strings(p["xml"], p["first"])]
+            except Exception as problem:
+                rows = [{"path": p["path"], "error": _reason(problem)}]
+            yield _batch(rows, STRING_ROWS)
+
+
+def decode_large(files: DataFrame, sheet: str | None = None, size: int = PIECE_BYTES) -> DataFrame:
+    """The same grid for large workbooks: one task inflates each and cuts it between rows, all tasks decode the pieces.
+
+    Pieces are staged in the shared folder. The string table is cut up too and becomes a table of its own;
+    each piece is joined with the strings its cells name, so no task holds the whole table.
+    """
+    spark = files.sparkSession
+    folder = f"{checkpoint_folder(spark)}/pieces-{uuid.uuid4().hex}"
+    cut = files.mapInArrow(lambda batches: _cut_up(batches, sheet, size), PIECE_ROWS)
+    # dealt by number, not by size: a piece is small to read and slow to decode
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut.repartition(tasks, "path", "kind", "piece").write.parquet(folder)
+    pieces = spark.read.schema(PIECE_ROWS).parquet(folder)
+
+    table = pieces.where(F.col("kind") == STRINGS).select("path", "first", "xml").mapInArrow(
+        _read_strings, "path string, id long, text string, error string"
+    )
+    rows = pieces.where(F.col("kind") == ROWS)
+    uses = rows.select("path", "piece", "xml").mapInArrow(_find_uses, "path string, piece int, id long")
+    named = uses.join(table.where("error IS NULL").drop("error"), ["path", "id"])
+    strings = named.groupBy("path", "piece").agg(F.collect_list(F.struct("id", "text")).alias("strings"))
+    grid = rows.repartition(tasks, "path", "piece").join(strings, ["path", "piece"], "left").select("path", "modified", "sheet", "sheet_idx", "first", "xml", "dates", "from_1904", "strings").mapInArrow(
+        _decode_pieces, S.GRID_SCHEMA
+    )
+    whole = pieces.where(F.col("kind") == WHOLE).select("path", F.col("modified").alias("modificationTime"), F.col("xml").alias("content"))
+    whole = whole.mapInPandas(lambda batches: _decode(batches, sheet), S.GRID_SCHEMA)
+    none = {"sheet": F.lit(None).cast("string"), "sheet_idx": F.lit(0), "row_idx": F.lit(-1), "cells": F.lit(None).cast("array<string>")}
+    ends = pieces.where(F.col("kind") == END).select("path", "modified", "error").withColumns(none).select(*S.GRID_SCHEMA.names)
+    broken = table.where("error IS NOT NULL").select("path", "error").distinct()
+    broken = broken.withColumns({"modified": F.lit(None).cast("timestamp")} | none).select(*S.GRID_SCHEMA.names)
+    return grid.unionByName(whole).unionByName(ends).unionByName(broken)
+
+
+def read_workbooks(
+    spark: SparkSession, folder: str, recursive: bool = True, sheet: str | None = None, large: int = LARGE_FILE
+) -> DataFrame:
     """Grid of the first or named sheets of all ``.xlsx`` files below ``folder``."""
     files = (
         spark.read.format("binaryFile")
@@ -60,7 +197,7 @@ def read_workbooks(spark: SparkSession, folder: str, recursive: bool = True, she
         .option("recursiveFileLookup", str(recursive).lower())
         .load(folder)
     )
-    return decode_workbooks(files, sheet)
+    return decode_workbooks(files, sheet, large)
 
 
 def rejected_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:

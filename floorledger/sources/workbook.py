@@ -1,6 +1,6 @@
 """Decoder for one ``.xlsx`` workbook: bytes in, sheet rows of text cells out.
 
-This is the only Python on executors. It runs inside ``mapInPandas``, one workbook at a time, reads each
+It runs inside ``mapInPandas``, one workbook at a time, reads each
 sheet as a stream of rows and emits text only: dates become ISO text, whole numbers lose their ``.0``,
 empty cells and error cells become null.
 """
@@ -13,6 +13,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree as ET
 
 # Fixed values of the public OOXML format.
@@ -156,10 +157,9 @@ def _cell_text(cell: ET.Element, strings: list[str], dates: set[int], epoch: dt.
 
 
 def _rows(
-    stream, strings: list[str], dates: set[int], epoch: dt.datetime
+    stream, strings: list[str] | dict[int, str], dates: set[int], epoch: dt.datetime, position: int = -1
 ) -> Iterator[tuple[int, list[str | None]]]:
-    """(row number from 0, cells) of each row that has any; cleared once read, so memory stays flat."""
-    position = -1
+    """(row number from 0, cells) of each row that has any, after row ``position``; cleared once read, so memory stays flat."""
     holder = None
     for event, node in ET.iterparse(stream, events=("start", "end")):
         name = _local(node.tag)
@@ -182,18 +182,143 @@ def _rows(
             holder.clear()
 
 
+def _wanted(book: zipfile.ZipFile, sheet: str | None) -> tuple[tuple[int, str, str], dt.datetime]:
+    """(number, name, part) of the named sheet, or of the first one, and the date epoch."""
+    sheets, epoch = _sheets(book)
+    wanted = [(k, name, part) for k, (name, part) in enumerate(sheets) if (k == 0 if sheet is None else name == sheet)]
+    if not wanted:
+        raise LookupError("no such sheet" if sheets else "no sheets")
+    return wanted[0], epoch
+
+
 def workbook_rows(content: bytes, sheet: str | None = None) -> Iterator[tuple[str, int, int, list[str | None]]]:
     """(sheet name, sheet number, row number, cells) of the named sheet, or of the first one.
 
     Other sheets are not read, so damage in them does not matter.
     """
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        sheets, epoch = _sheets(book)
-        wanted = [(k, name, part) for k, (name, part) in enumerate(sheets) if (k == 0 if sheet is None else name == sheet)]
-        if not wanted:
-            raise LookupError("no such sheet" if sheets else "no sheets")
+        (number, name, part), epoch = _wanted(book, sheet)
         strings, dates = _shared_strings(book), _date_styles(book)
-        number, name, part = wanted[0]
         with book.open(part) as stream:
             for row, cells in _rows(stream, strings, dates, epoch):
                 yield name, number, row, cells
+
+
+# --- large sheets in pieces ------------------------------------------------------------------------
+
+ROWS, STRINGS = "rows", "strings"
+PIECE_BYTES = 2 << 20
+_PREFIX = rb"(?:[\w.\-]+:)?"
+_ITEMS = {ROWS: b"row", STRINGS: b"si"}
+_ROW_TAG = re.compile(rb"<" + _PREFIX + rb"row\b([^>]*)>")
+_ROW_NUMBER = re.compile(rb"""(?<![\w:.\-])r\s*=\s*["'](\d+)["']""")
+_STRING_USE = re.compile(rb"""(?<![\w:.\-])t\s*=\s*["']s["'][^>]*>.*?<""" + _PREFIX + rb"""v\b[^>]*>\s*(\d+)""", re.DOTALL)
+_OTHER_CODE = re.compile(rb"""encoding\s*=\s*["'](?!utf-8|us-ascii)""", re.IGNORECASE)
+
+
+@dataclass(frozen=True)
+class Piece:
+    """A part of a sheet or of the string table that is an XML text of its own.
+
+    ``first`` is the row before its first row, or the number of its first string.
+    """
+
+    kind: str
+    number: int
+    first: int
+    xml: bytes
+
+
+def _cuttable(stream) -> bool:
+    """Whether tags can be found by their text: no comments or CDATA, and a byte encoding that keeps ASCII."""
+    last = b""
+    while data := stream.read(1 << 20):
+        if not last and (data[:2] in (b"\xff\xfe", b"\xfe\xff") or _OTHER_CODE.search(data[:200])):
+            return False
+        if b"<!" in last + data:
+            return False
+        last = data[-1:]
+    return True
+
+
+def _cut(stream, kind: str, size: int) -> Iterator[tuple[bytes, bytes, bytes]]:
+    """(tag of an item, items, whole XML text) of each piece: cut behind an item, with the tags around the items put back."""
+    begin = re.compile(rb"<(" + _PREFIX + _ITEMS[kind] + rb")\b")
+    head = close = tag = end = None
+    held = b""
+    while data := stream.read(size):
+        held += data
+        if head is None:
+            found = begin.search(held)
+            if not found:
+                continue
+            tag, head, held = found[1], held[: found.start()], held[found.start() :]
+            opened = re.findall(rb"<([\w.\-:]+)(?:\s[^>]*[^>/]|\s*)?>", head)
+            around = [t for t in opened if t.rsplit(b":", 1)[-1] in (b"worksheet", b"sheetData", b"sst")]
+            close = b"".join(b"</" + t + b">" for t in reversed(around))
+            end = b"</" + tag + b">"
+        last = held.rfind(end)
+        if last >= 0:
+            last += len(end)
+            yield tag, held[:last], head + held[:last] + close
+            held = held[last:]
+    if head is not None:  # what follows the items, or is left of a broken one, is read as it is
+        yield tag, held, head + held
+
+
+def workbook_pieces(content: bytes, sheet: str | None = None, size: int = PIECE_BYTES) -> tuple[dict, Iterator[Piece]] | None:
+    """What is needed to read the sheet's rows, and its pieces and those of the string table; None if it cannot be cut.
+
+    One pass inflates the parts and looks for tags by their text; XML is read from the pieces, anywhere.
+    """
+    book = zipfile.ZipFile(io.BytesIO(content))
+    (number, name, part), epoch = _wanted(book, sheet)
+    parts = {ROWS: part} | ({STRINGS: "xl/sharedStrings.xml"} if "xl/sharedStrings.xml" in book.namelist() else {})
+    for where in parts.values():
+        with book.open(where) as stream:
+            if not _cuttable(stream):
+                return None
+
+    def pieces() -> Iterator[Piece]:
+        for kind, where in parts.items():
+            first, k = -1 if kind == ROWS else 0, 0
+            with book.open(where) as stream:
+                for tag, items, xml in _cut(stream, kind, size):
+                    yield Piece(kind, k, first, xml)
+                    first, k = (_last_row(items, first) if kind == ROWS else first + _count(items, tag)), k + 1
+
+    return {"sheet": name, "sheet_idx": number, "dates": sorted(_date_styles(book)), "from_1904": epoch is EPOCH_1904}, pieces()
+
+
+def _count(items: bytes, tag: bytes) -> int:
+    """Opening tags; a < is never part of a text."""
+    return sum(items.count(b"<" + tag + after) for after in (b">", b" ", b"/", b"\t", b"\n", b"\r"))
+
+
+def _last_row(items: bytes, first: int) -> int:
+    """The number of the last row: that of the last row with a number, and one for each row behind it."""
+    for part in (items[-(1 << 16) :], items):
+        behind = 0
+        for tag in reversed(_ROW_TAG.findall(part)):
+            given = _ROW_NUMBER.search(tag)
+            if given:
+                return int(given[1]) - 1 + behind
+            behind += 1
+    return first + behind
+
+
+def string_uses(xml: bytes) -> list[int]:
+    """The strings that the cells of a piece name, and perhaps some more."""
+    return sorted({int(x) for x in _STRING_USE.findall(xml)})
+
+
+def piece_rows(xml: bytes, first: int, strings: dict[int, str], dates: set[int], from_1904: bool) -> Iterator[tuple[int, list[str | None]]]:
+    return _rows(io.BytesIO(xml), strings, dates, EPOCH_1904 if from_1904 else EPOCH_1900, first)
+
+
+def piece_strings(xml: bytes, first: int) -> Iterator[tuple[int, str]]:
+    for _, node in ET.iterparse(io.BytesIO(xml)):
+        if _local(node.tag) == "si":
+            yield first, _text_of(node)
+            first += 1
+            node.clear()

@@ -12,7 +12,7 @@ import __spark_entry__ as entry  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["monthly_summary", "attendant_record_prizes", "mda_month", "canonical_ops", "canonical_prizes", "latest_upload_wins"]
-SAMPLE += ["history_replaced", "history_receipt"]
+SAMPLE += ["history_replaced", "history_receipt", "workbook_roundtrip", "bundle_roundtrip", "drop_folder_months"]
 
 
 def test_every_query_has_checking_sql():
