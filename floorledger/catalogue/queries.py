@@ -111,13 +111,9 @@ def header_bind(spark, sf_dir):
 
 @register
 def header_names(spark, sf_dir):
-    """Every named column, known or not, as long rows counted per name."""
+    """Every named column, known or not, counted per name."""
     sheets = pick_sheet(raw_grid(spark, sf_dir))
-    rows = headers.named_cells(sheets, cut_lineage(headers.detect_headers(sheets)))
-    pairs = rows.select("path", F.explode("fields").alias("name", "value"))
-    return pairs.groupBy("path", "name").agg(
-        F.count(F.lit(1)).alias("cells"), F.count("value").alias("filled"), F.max(F.length("value")).alias("longest")
-    )
+    return headers.name_statistics(sheets, cut_lineage(headers.detect_headers(sheets)))
 
 
 @register

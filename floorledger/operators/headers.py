@@ -116,8 +116,8 @@ def bind_headers(grid: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
-def named_cells(grid: DataFrame, headers: DataFrame) -> DataFrame:
-    """Rows below each header as ``path, sheet, row_idx, fields`` with every named column, known or not.
+def named_headers(headers: DataFrame) -> DataFrame:
+    """``path, sheet, header_row, names`` with one name per column.
 
     Empty names become ``Unnamed: <place>``. Repeated names get the first free number (``Monto``,
     ``Monto.1``), so every name is unique whatever the sheet calls its other columns.
@@ -136,8 +136,33 @@ def named_cells(grid: DataFrame, headers: DataFrame) -> DataFrame:
         F.array().cast("array<string>"),
         lambda taken, n: F.array_append(taken, F.when(F.array_contains(taken, n), free(taken, n)).otherwise(n)),
     )
-    keyed = plain.select(*SHEET, "header_row", F.when(F.size("names") > 0, unique).otherwise(F.col("names")).alias("names"))
-    rows = lookup_join(grid.select(*SHEET, "row_idx", "cells"), keyed, SHEET)
+    return plain.select(*SHEET, "header_row", F.when(F.size("names") > 0, unique).otherwise(F.col("names")).alias("names"))
+
+
+def named_cells(grid: DataFrame, headers: DataFrame) -> DataFrame:
+    """Rows below each header as ``path, sheet, row_idx, fields`` with every named column, known or not."""
+    rows = lookup_join(grid.select(*SHEET, "row_idx", "cells"), named_headers(headers), SHEET)
     below = rows.where((F.col("row_idx") > F.col("header_row")) & (F.size("names") > 0))
     values = F.transform("names", lambda n, i: present(F.get("cells", i)))
     return below.select(*SHEET, "row_idx", F.map_from_arrays("names", values).alias("fields"))
+
+
+def name_statistics(grid: DataFrame, headers: DataFrame) -> DataFrame:
+    """``path, name, cells, filled, longest`` of every named column: its rows, those with a value, the longest text.
+
+    Cells are counted by their place, where they fold to one row per column before the shuffle; only those
+    few rows are joined with names.
+    """
+    keyed = named_headers(headers)
+    widths = keyed.select(*SHEET, "header_row", F.size("names").alias("width")).where("width > 0")
+    rows = lookup_join(grid.select(*SHEET, "row_idx", "cells"), widths, SHEET).where("row_idx > header_row")
+    missing = F.array_repeat(F.lit(None).cast("string"), F.greatest(F.col("width") - F.size("cells"), F.lit(0)))
+    placed = rows.select(*SHEET, F.posexplode(F.slice(F.concat("cells", missing), 1, F.col("width"))).alias("place", "cell"))
+    placed = placed.select(*SHEET, "place", present(F.col("cell")).alias("value"))
+    found = placed.groupBy(*SHEET, "place").agg(
+        F.count(F.lit(1)).alias("cells"), F.count("value").alias("filled"), F.max(F.length("value")).alias("longest")
+    )
+    names = keyed.select(*SHEET, F.posexplode("names").alias("place", "name"))
+    return found.join(names, [*SHEET, "place"]).groupBy("path", "name").agg(
+        F.sum("cells").alias("cells"), F.sum("filled").alias("filled"), F.max("longest").alias("longest")
+    )

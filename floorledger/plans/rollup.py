@@ -7,6 +7,8 @@ up, so the results are the same. A month replacement recomputes only its months.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +41,24 @@ def roll_up(df: DataFrame) -> FactSet:
     return FactSet(fold(facts, *PEOPLE_KEYS), fold(facts, *MACHINE_KEYS))
 
 
+class StagedFacts(FactSet):
+    """Rollups worked out once each, when first asked for."""
+
+    def __init__(self, rollups: FactSet, kind: str):
+        self.__dict__.update(rollups=rollups, kind=kind)
+
+    @cached_property
+    def people(self) -> DataFrame:
+        return cut_lineage(self.rollups.people)
+
+    @cached_property
+    def machines(self) -> DataFrame:
+        return cut_lineage(self.rollups.machines) if self.kind == S.PREMIOS else self.rollups.machines
+
+
 def stage_facts(df: DataFrame, kind: str) -> FactSet:
     """Rollups worked out once, for a whole report set: at most two scans of ``df`` instead of one per report."""
-    rollups = roll_up(df)
-    machines = cut_lineage(rollups.machines) if kind == S.PREMIOS else rollups.machines
-    return FactSet(cut_lineage(rollups.people), machines)
+    return StagedFacts(roll_up(df), kind)
 
 
 def report_bundle(
