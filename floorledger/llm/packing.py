@@ -17,10 +17,6 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 PLACES = f"{PIECES}, sequence_id long, offset int"
 #: Fixed value: how the ``ByteLevel`` step of a tokenizer file cuts a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Settings of a tokenizer file under which its vocabulary alone decides the ids of a text without added tokens.
-PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "ignore_merges": False}
-
-
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, as ``tokenizers`` gives them without special tokens around.
 
@@ -35,16 +31,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        settings = json.loads(self.tokenizer.to_str())
-        self.added = [x["content"] for x in settings["added_tokens"]]
-        self.encoding = self._fast() if self._plain(settings) else None
-
-    @staticmethod
-    def _plain(settings: dict) -> bool:
-        step = settings["pre_tokenizer"] or {}
-        bytewise = step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and step.get("use_regex")
-        model = all(settings["model"].get(k) == v for k, v in PLAIN_MODEL.items())
-        return bool(bytewise and model and not settings["normalizer"] and not settings["truncation"] and not settings["padding"])
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.encoding = self._fast() if self._plain() else None
+
+    def _plain(self) -> bool:
+        """Whether the vocabulary alone decides the ids of a text without added tokens."""
+        whole, step, model = self.tokenizer, self.tokenizer.pre_tokenizer, self.tokenizer.model
+        if whole.normalizer or whole.truncation or whole.padding or step is None:
+            return False
+        step = json.loads(step.__getstate__())
+        bytewise = step["type"] == "ByteLevel" and not step.get("add_prefix_space") and step.get("use_regex")
+        odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+        return bool(bytewise and type(model).__name__ == "BPE" and not any(getattr(model, k) for k in odd))
 
     def _fast(self):
         import tiktoken
