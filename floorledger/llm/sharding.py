@@ -43,42 +43,49 @@ def admission(wanted: list[list[int]], room: list[int]) -> list[float]:
     return share
 
 
-def propagate(linked: DataFrame, size: int, shards: int, rounds: int) -> DataFrame:
-    """Move the rows of ``linked`` (``group, shard, order`` and others) towards the shard most of their group is in.
-
-    The rows of a group are neighbours of each other. A round counts each group's rows per shard, picks
-    the shard with most of them, and admits the rows that want to go there up to the shard's quota: its
-    ``size`` less its linked rows, as unlinked rows may be anywhere and make way, and the linked rows
-    that leave it in the same round, so full shards exchange rows. Ties are drawn anew in each round.
-    Rows are admitted by a hash, so a quota holds on average; ``gather`` settles the rest exactly.
-    A group is judged by its counts per shard, so the work of a round is one aggregation and one join.
+def propagate(linked: DataFrame, targets: list[int], rounds: int) -> tuple[DataFrame, bool]:
+    """Move the rows of ``linked`` (``group, shard`` and others) towards shards that more of their group is in.
+
+    The rows of a group are neighbours of each other. A round counts each group's rows per shard and
+    picks the shard with most of them, less that shard's price. The rest of the group wants to go there, all of
+    its rows in a shard together, and is admitted up to the shard's quota: its target less its linked
+    rows, as unlinked rows may be anywhere and make way, and the linked rows that leave it in the same
+    round, so full shards exchange rows. A shard that had to refuse wishes raises its price, so groups turn
+    to others that hold fewer of their rows but have room. Ties are drawn anew in each round. It goes on until no
+    group is in several shards, at most ``rounds`` times. Rows are admitted by a hash, so a quota holds on average.
+    A group is judged by its counts per shard: the work of a round is one aggregation and one join.
+
+    Returns the rows and whether quotas are not met yet: groups are left apart, or a shard holds too many rows.
     """
-    now = linked
+    shards = len(targets)
+    now, prices = linked, [0.0] * shards
     for turn in range(rounds):
-        counts = now.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("here"))
-        counts = staged(counts)
+        counts = staged(now.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("here")))
         load = _per_shard(counts, "shard", F.sum("here"), shards)
-        rank = F.struct("here", F.xxhash64("group", "shard", F.lit(turn)).alias("tie"), "shard")
-        best = counts.groupBy("group").agg(F.max(rank).alias("top"), F.count(F.lit(1)).alias("parts"))
+        tie = unit_hash("group", "shard", F.lit(turn)) / F.lit(float(1 << 31))
+        worth = F.col("here") + tie - F.element_at(_numbers(prices), F.col("shard") + 1)
+        best = counts.groupBy("group").agg(F.max(F.struct(worth.alias("worth"), "shard")).alias("top"), F.count(F.lit(1)).alias("parts"))
         best = best.filter("parts > 1").select("group", F.col("top.shard").alias("to"))
         wishes = staged(counts.join(best, "group").filter("shard <> to"))
         wanted = [[0] * shards for _ in range(shards)]
         for row in wishes.groupBy("shard", "to").agg(F.sum("here").alias("v")).collect():  # at most shards^2
             wanted[row["shard"]][row["to"]] = row["v"]
-        share = admission(wanted, [size - x for x in load])
-        if sum(w * x for row in wanted for w, x in zip(row, share, strict=True)) < 1:
+        if not any(map(any, wanted)):
             dropped(counts), dropped(wishes)
-            break
-        moves = wishes.select("group", "shard", "to")
-        admitted = unit_hash("order", F.lit(turn)) / F.lit(float(1 << 31)) < F.element_at(_numbers(share), F.col("to") + 1)
-        out = now.join(moves, ["group", "shard"], "left")
-        out = out.withColumn("shard", F.when(F.col("to").isNotNull() & admitted, F.col("to")).otherwise(F.col("shard")))
+            return now, any(x > target for x, target in zip(load, targets, strict=True))
+        share = admission(wanted, [target - x for x, target in zip(load, targets, strict=True)])
+        refused = [(1 - x) * any(row[t] for row in wanted) for t, x in enumerate(share)]
+        prices = [p + x for p, x in zip(prices, refused, strict=True)]
+        prices = [p - min(prices) for p in prices]
+        admitted = unit_hash("group", "shard", F.lit(turn + 1000)) / F.lit(float(1 << 31)) < F.element_at(_numbers(share), F.col("to") + 1)
+        moves = wishes.filter(admitted).select("group", "shard", "to")
+        out = now.join(moves, ["group", "shard"], "left").withColumn("shard", F.coalesce("to", "shard"))
         out = staged(out.select(*linked.columns))
         dropped(counts), dropped(wishes)
         if turn:
             dropped(now)
         now = out
-    return now
+    return now, rounds > 0
 
 
 def place(pieces: dict[tuple[int, int], int], targets: list[int]) -> list[tuple[int, int, int, int, int, int]]:
@@ -160,8 +167,8 @@ def place(pieces: dict[tuple[int, int], int], targets: list[int]) -> list[tuple[
 
 
 def gather(linked: DataFrame, targets: list[int]) -> DataFrame:
-    """Make the groups of ``linked`` whole that propagation left in several shards, and mark the rows of those that
-    must be ``cut``; afterwards the whole groups of a shard fit its target.
+    """Make the groups of ``linked`` whole that quotas kept apart in propagation, move some out of shards that hold too
+    many rows, and mark the rows of those that must be ``cut``; afterwards the whole groups of a shard fit its target.
 
     Only the number of groups per shard and size reaches the driver. Groups find their place from their
     number among those of one shard and size.
@@ -216,15 +223,15 @@ def settle(rows: DataFrame, targets: list[int], shards: int) -> DataFrame:
 
 
 def shard_documents(
-    docs: DataFrame, shards: int = 40, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shards: int = 40, rounds: int = 40, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     Documents with equal texts are linked. The law is ``rows``: counts are at most one apart, whatever
     the groups are. Documents start in shards by a hash of their id, in equal numbers; propagation
-    gathers the groups in up to ``rounds`` rounds, and those it leaves in several shards are placed by their
-    sizes, small ones making way for larger ones. Groups stay cut only where they fit no shard beside what
-    is placed, at most about one per shard. A group above the capacity of a shard is cut beforehand, by a hash of the id,
+    gathers the groups, in two or three rounds where shards have room for them. If quotas still keep some
+    apart after ``rounds`` rounds, these are placed by their sizes, small ones making way for larger ones.
+    Groups stay cut only where they fit no shard beside what is placed, at most about one per shard. A group above the capacity of a shard is cut beforehand, by a hash of the id,
     into parts that fit one.
 
     A null text has 16 bytes, the CRC of the empty text, and is a group with other null texts, apart
@@ -255,8 +262,8 @@ def shard_documents(
     start = start.withColumn("group", F.when(F.col("members") > 1, F.xxhash64("text_key", part)))
     start = staged(start.drop("text_key", "members").withColumn("loose", F.col("group").isNull()))
 
-    linked = propagate(start.filter("NOT loose"), capacity, shards, rounds)
-    linked = gather(linked, targets)
+    linked, apart = propagate(start.filter("NOT loose"), targets, rounds)
+    linked = gather(linked, targets) if apart else linked.withColumn("cut", F.lit(False))
     joined = staged(start.filter("loose").withColumn("cut", F.lit(False)).unionByName(linked))
     out = settle(joined, targets, shards)
     return out.select(

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from floorledger.llm.sharding import admission, place, shard_documents
+from floorledger.llm.sharding import admission, place, propagate, shard_documents
 
 SCHEMA = "doc_id long, text string, shard string"
 
@@ -58,7 +58,7 @@ def spread(sizes):
     ],
 )
 def test_groups_are_whole_when_most_rows_have_copies(spark, sizes, cut):
-    got = shard_documents(spark.createDataFrame(spread(sizes), SCHEMA), 8).collect()
+    got = shard_documents(spark.createDataFrame(spread(sizes), SCHEMA), 8, rounds=8).collect()
     rows = Counter(r["shard"] for r in got)
     assert len(got) == sum(sizes) and set(rows.values()) == {100}
     assert Counter((r["shard"], r["slot"]) for r in got) == Counter((s, k) for s in range(8) for k in range(100))
@@ -94,3 +94,78 @@ def test_full_shards_exchange_rows_and_nothing_enters_beyond_that():
     assert admission([[0, 9], [9, 0]], [0, 0]) == [1.0, 1.0]
     assert admission([[0, 6], [12, 0]], [0, 0]) == pytest.approx([0.5, 1.0])
     assert admission([[0, 5], [0, 0]], [0, 0])[1] == 0.0
+
+
+def started(spark, sizes, shards, seed=0):
+    """Rows of groups of these sizes, dealt to shards in equal numbers: the groups' rows and the shards' quota."""
+    pick = random.Random(seed)
+    places = [k % shards for k in range(sum(sizes))]
+    pick.shuffle(places)
+    groups = [g for g, n in enumerate(sizes) for _ in range(n)]
+    rows = [(g, s) for g, s in zip(groups, places, strict=True) if sizes[g] > 1]
+    return spark.createDataFrame(rows, "group long, shard int"), -(-sum(sizes) // shards)
+
+
+def whole(rows):
+    at = {}
+    for r in rows.collect():
+        at.setdefault(r["group"], set()).add(r["shard"])
+    return sum(len(x) == 1 for x in at.values()) / len(at)
+
+
+@pytest.mark.parametrize("sizes", [[2] * 400, [10] * 64 + [1] * 160])
+def test_propagation_alone_makes_groups_whole(spark, sizes):
+    rows, quota = started(spark, sizes, 8)
+    before = whole(rows)
+    out, _ = propagate(rows, [quota] * 8, 40)
+    assert before < 0.2 and whole(out) >= 0.95
+    load = Counter(r["shard"] for r in out.collect())
+    assert max(load.values()) <= quota * 1.15
+
+
+def test_without_rounds_groups_stay_apart(spark):
+    docs = spark.createDataFrame(spread([4] * 60 + [1] * 160), SCHEMA)
+    cut = []
+    for rounds in (0, 10):
+        texts = {}
+        for r in shard_documents(docs, 8, rounds=rounds).collect():
+            texts.setdefault(r["text_crc32"], set()).add(r["shard"])
+        cut.append(sum(len(x) > 1 for x in texts.values()))
+    assert cut[0] > 50 and cut[1] == 0
+
+
+def least_cut(sizes, shards):
+    """The smallest number of groups in several shards, over all ways to fill shards of equal sizes."""
+    total = sum(sizes)
+    targets = tuple(total // shards + (k < total % shards) for k in range(shards))
+    linked = sorted((z for z in sizes if z > 1), reverse=True)
+    best = len(linked)
+
+    def search(k, free, cut):
+        nonlocal best
+        if cut >= best:
+            return
+        if k == len(linked):
+            best = cut
+            return
+        for s in set(free):
+            if s >= linked[k]:
+                left = list(free)
+                left[left.index(s)] -= linked[k]
+                search(k + 1, tuple(sorted(left)), cut)
+        # a cut group fills what is left: it may go anywhere in parts, so it is placed last
+        search(k + 1, free, cut + 1)
+
+    search(0, tuple(sorted(targets)), 0)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_cut_is_near_the_least_on_small_graphs(spark, seed):
+    pick = random.Random(seed)
+    sizes = [pick.choice([1, 1, 2, 2, 3, 4, 5]) for _ in range(pick.randrange(8, 14))]
+    got = shard_documents(spark.createDataFrame(spread(sizes), SCHEMA), 3, rounds=6).collect()
+    texts = {}
+    for r in got:
+        texts.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert sum(len(x) > 1 for x in texts.values()) <= least_cut(sizes, 3) + 1
