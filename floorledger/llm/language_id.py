@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorledger.llm.common import bounded_batches, staged, unit_hash
-from floorledger.llm.textarrays import column_bytes, groups, mixed
+from floorledger.llm.textarrays import CHUNK, column_bytes, groups, mixed
 
 UNDETERMINED = "und"
 LENGTHS = (2, 3, 4, 5)
@@ -31,6 +32,28 @@ def _letters() -> np.ndarray:
 LETTERS = _letters()
 
 
+def pieces(offsets: np.ndarray, data: np.ndarray, most: int = CHUNK) -> Iterator[np.ndarray]:
+    """The offsets of a range of texts; a text of more than ``most`` bytes in parts, cut behind a byte that is no letter.
+
+    No n-gram has such a byte inside, so the parts have the n-grams of the whole text.
+    """
+    first, end = int(offsets[0]), int(offsets[-1])
+    if len(offsets) > 2 or end - first <= most:
+        yield offsets
+        return
+    while first < end:
+        last = min(end, first + most)
+        if last < end:
+            apart = np.flatnonzero(LETTERS[data[first:last]] == _SPACE)
+            while not len(apart) and last < end:  # one word
+                more = min(end, last + most)
+                apart = np.flatnonzero(LETTERS[data[last:more]] == _SPACE)[:1] + (last - first)
+                last = more
+            last = first + int(apart[-1]) + 1 if len(apart) else end
+        yield np.array([first, last])
+        first = last
+
+
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the byte n-grams of the texts of one range, within words and over their edges.
 
@@ -88,18 +111,19 @@ class LanguageFilter:
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams, n-grams that each language's filter holds) per text."""
         n = len(offsets) - 1
-        text, hashed = grams(data, offsets)
-        total = np.bincount(text, minlength=n)
-        held = np.zeros((n, len(self.languages)))
-        if len(text):
-            at = slots(hashed, self.k, self.bits)
-            for w, mask in enumerate(self.masks):
-                all_of = mask[at[0]]
-                for j in range(1, self.k):
-                    all_of &= mask[at[j]]
-                for i in range(64 * w, min(64 * w + 64, len(self.languages))):
-                    has = (all_of >> all_of.dtype.type(i % 64)) & all_of.dtype.type(1)
-                    held[:, i] = np.bincount(text, weights=has, minlength=n)
+        total, held = np.zeros(n, np.int64), np.zeros((n, len(self.languages)))
+        for part in pieces(offsets, data):
+            text, hashed = grams(data, part)
+            total += np.bincount(text, minlength=n)
+            if len(text):
+                at = slots(hashed, self.k, self.bits)
+                for w, mask in enumerate(self.masks):
+                    all_of = mask[at[0]]
+                    for j in range(1, self.k):
+                        all_of &= mask[at[j]]
+                    for i in range(64 * w, min(64 * w + 64, len(self.languages))):
+                        has = (all_of >> all_of.dtype.type(i % 64)) & all_of.dtype.type(1)
+                        held[:, i] += np.bincount(text, weights=has, minlength=n)
         return total, held
 
     def decide(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -126,9 +150,10 @@ def count_grams(texts: DataFrame) -> DataFrame:
             names, code = np.unique(langs, return_inverse=True) if len(langs) else (langs, np.zeros(0, int))
             seen = [[] for _ in names]
             for first, last in groups(offsets):
-                text, hashed = grams(data, offsets[first : last + 1])
-                for i in range(len(names)):
-                    seen[i].append(np.unique(hashed[code[first + text] == i], return_counts=True))
+                for part in pieces(offsets[first : last + 1], data):
+                    text, hashed = grams(data, part)
+                    for i in range(len(names)):
+                        seen[i].append(np.unique(hashed[code[first + text] == i], return_counts=True))
             for name, found in zip(names, seen, strict=True):
                 gram = np.concatenate([x[0] for x in found])
                 n = np.concatenate([x[1] for x in found])
@@ -181,6 +206,16 @@ def learn(
     return LanguageFilter(languages, common, masks, k, bits)
 
 
+def plain_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each text has an ASCII letter."""
+    out = np.zeros(len(offsets) - 1, bool)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        out[some] = np.logical_or.reduceat(_PLAIN[data], offsets[some])
+    return out
+
+
+_PLAIN = (LETTERS != _SPACE) & (np.arange(256) < 128)
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -202,8 +237,7 @@ def predict(docs: DataFrame, model: LanguageFilter | None, text_col: str, column
                 langs += lang
                 scores.append(score)
             scores = np.concatenate(scores) if scores else np.zeros(0)
-            ascii_letter = np.concatenate(([0], np.cumsum((LETTERS[data] != _SPACE) & (data < 128))))
-            for i in np.flatnonzero(ascii_letter[offsets[1:]] == ascii_letter[offsets[:-1]]):
+            for i in np.flatnonzero(~plain_letter(data, offsets)):
                 if not _LETTER.search(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")):
                     langs[i], scores[i] = UNDETERMINED, 0.0
             kept = [batch.column(c) for c in names]

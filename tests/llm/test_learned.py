@@ -1,13 +1,16 @@
 """Language ID, quality and toxicity: held-out accuracy on the smallest useful tables, and odd rows."""
 
 import itertools
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from floorledger.llm import toxicity_crf as crf
-from floorledger.llm.language_id import LanguageFilter, grams, identify_languages, slots
+from floorledger.llm.language_id import LanguageFilter, grams, identify_languages, pieces, plain_letter, slots
 from floorledger.llm.quality_fm import Machine, keep_good, quality
 from floorledger.llm.toxicity_crf import toxicity
 
@@ -183,3 +186,66 @@ def test_marginals_against_all_paths(n):
             weight = np.exp(emission[a:b] @ path + sum(move[i, j] for i, j in zip(path, path[1:], strict=False)))
             total, tagged = total + weight, tagged + weight * np.array(path)
         assert np.allclose(tagged / total, p[a:b])
+
+
+def brute_grams(text):
+    """The n-grams of a text from its definition: of 2 to 5 bytes, within words with one space at either end."""
+    out = Counter()
+    for word in re.findall(b"[a-z\x80-\xff]+", re.sub(b"[A-Z]", lambda m: m[0].lower(), text)):
+        framed = b" " + word + b" "
+        for size in (2, 3, 4, 5):
+            for k in range(len(framed) - size + 1):
+                gram = framed[k : k + size]
+                if size > 2 or b" " not in gram:
+                    out[gram] += 1
+    return out
+
+
+def test_ngrams_are_those_of_brute_force_in_one_part_and_in_many():
+    pick = random.Random(8)
+    texts = ["".join(pick.choice("abcD é1 \n.") for _ in range(pick.randrange(0, 400))).encode() for _ in range(40)] + [b"x" * 90, b"", b" "]
+    for text in texts:
+        data = np.frombuffer(text, np.uint8)
+        want = sorted(brute_grams(text).values())
+        for most in (7, 50, 1 << 20):
+            found = Counter()
+            for part in pieces(np.array([0, len(data)]), data, most):
+                found.update(grams(data, part)[1].tolist())
+            assert sorted(found.values()) == want
+
+
+def test_masks_give_the_languages_of_exact_sets():
+    """Counts through the filters, corrected, against sets of n-grams per language."""
+    pick = random.Random(9)
+    word = lambda letters: "".join(pick.choice(letters) for _ in range(pick.randrange(2, 7)))
+    held = {lang: {word(letters) for _ in range(300)} for lang, letters in (("aa", "abcdefg"), ("bb", "efghijk"), ("cc", "mnopqrs"))}
+    exact = {lang: set().union(*(brute_grams(w.encode()) for w in words)) for lang, words in held.items()}
+    masks = np.zeros((1, 1 << 21), np.uint64)
+    for i, words in enumerate(held.values()):
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        at = slots(grams(data, np.array([0, len(data)]))[1], 3, 21)
+        masks[0, at.reshape(-1).astype(np.int64)] |= np.uint64(1 << i)
+    model = LanguageFilter(list(held), 0, masks, 3, 21)
+    for _ in range(50):
+        text = " ".join(word(pick.choice(["abcdefg", "efghijk", "mnopqrs", "xyz"])) for _ in range(30)).encode()
+        total, counts = model.counts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        found = brute_grams(text)
+        assert total[0] == sum(found.values())
+        want = [sum(n for g, n in found.items() if g in exact[lang]) for lang in held]
+        assert np.abs(counts[0] - want).max() <= 2
+        if sum(want):
+            best = model.decide(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0][0]
+            assert want[list(held).index(best)] >= max(want) - 2
+
+
+def test_memory_for_a_very_long_text():
+    import tracemalloc
+
+    data = np.frombuffer(b"some words of a long text, " * 2_000_000, np.uint8)[: 50 << 20]
+    model = LanguageFilter(["a", "b"], 0, np.zeros((1, 1 << 21), np.uint64), 3, 21)
+    tracemalloc.start()
+    total, _ = model.counts(data, np.array([0, len(data)]))
+    assert plain_letter(data, np.array([0, len(data)])).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total[0] > 50 << 20 and peak < 300 << 20
