@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from floorledger import schema as S
 from floorledger.operators.lookups import lookup_join
-from floorledger.session import checkpoint_folder
-from floorledger.sources.workbook import PIECE_BYTES, ROWS, STRINGS, piece_rows, piece_strings, string_uses, workbook_pieces, workbook_rows
+from floorledger.session import checkpoint_folder, cut_lineage
+from floorledger.sources.workbook import (
+    PIECE_BYTES, ROWS, STRINGS, part_rows, piece_rows, piece_strings, sheet_parts, string_uses, workbook_pieces, workbook_rows,
+)
 
 WORKBOOK_GLOB = "*.[xX][lL][sS][xX]"
 ROWS_PER_BATCH = 4096
@@ -34,7 +37,7 @@ def _decode(batches: Iterator[pd.DataFrame], wanted: str | None) -> Iterator[pd.
             pending: list[tuple] = []
             error = None
             try:
-                for sheet, number, row, cells in workbook_rows(content, wanted):
+                for sheet, number, row, cells in workbook_rows(content, wanted, True):
                     pending.append((path, modified, sheet, number, row, cells, None))
                     if len(pending) >= ROWS_PER_BATCH:
                         yield pd.DataFrame(pending, columns=columns)
@@ -53,7 +56,8 @@ def decode_workbooks(files: DataFrame, sheet: str | None = None, large: int = LA
     A workbook of up to ``large`` bytes is decoded in one task, many workbooks side by side; a larger one is
     cut into pieces that all tasks decode (``decode_large``). After its rows each gives a row with
     ``row_idx = -1``, which holds its problem in ``error`` if it could not be read to the end: rows before a
-    damaged place are in the grid and must be left out (see ``whole_sheets``).
+    damaged place are in the grid and must be left out (see ``whole_sheets``). Sheets that ``books`` went on in
+    other sheets are read as one; large ones that it wrote are decoded by the parts that it wrote (``decode_parts``).
     """
     columns = ["path", "modificationTime", "content"]
     small = files.where(F.col("length") <= large).select(*columns)
@@ -61,6 +65,12 @@ def decode_workbooks(files: DataFrame, sheet: str | None = None, large: int = LA
     big = files.where(F.col("length") > large)
     if big.select("path").isEmpty():  # from the list of files; contents are not read
         return grid
+    parts = written_parts(big.select("path", "modificationTime"), sheet)
+    if parts is not None:
+        grid = grid.unionByName(decode_parts(parts))
+        big = big.join(F.broadcast(parts.select("path").distinct()), "path", "left_anti")
+        if big.select("path").isEmpty():
+            return grid
     return grid.unionByName(decode_large(big.select(*columns), sheet))
 
 
@@ -77,11 +87,12 @@ PIECES = pa.schema(
         ("dates", pa.list_(pa.int32())),
         ("from_1904", pa.bool_()),
         ("error", pa.string()),
+        ("before", pa.int64()),
     ]
 )
 PIECE_ROWS = (
     "path string, modified timestamp, sheet string, sheet_idx int, kind string, piece int, first long, xml binary, "
-    "dates array<int>, from_1904 boolean, error string"
+    "dates array<int>, from_1904 boolean, error string, before long"
 )
 GRID_ROWS = pa.schema(
     [
@@ -93,6 +104,15 @@ GRID_ROWS = pa.schema(
 )
 STRING_ROWS = pa.schema([("path", pa.string()), ("id", pa.int64()), ("text", pa.string()), ("error", pa.string())])
 USE_ROWS = pa.schema([("path", pa.string()), ("piece", pa.int32()), ("id", pa.int64())])
+PART_ROWS = (
+    "path string, modified timestamp, sheet string, sheet_idx int, dates array<int>, from_1904 boolean, "
+    "before long, at long, packed long, crc long, first boolean"
+)
+PARTS = pa.schema(
+    [PIECES.field(name) for name in ("path", "modified", "sheet", "sheet_idx", "dates", "from_1904", "before")]
+    + [(name, pa.int64()) for name in ("at", "packed", "crc")]
+    + [("first", pa.bool_())]
+)
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -110,13 +130,13 @@ def _cut_up(batches: Batches, wanted: str | None, size: int) -> Batches:
             path, modified, content = (files.column(c)[k].as_py() for c in ("path", "modificationTime", "content"))
             same, error = {"path": path, "modified": modified}, None
             try:
-                found = workbook_pieces(content, wanted, size)
+                found = workbook_pieces(content, wanted, size, True)
                 if found is None:  # not to be cut: decoded as a whole
                     yield _batch([same | {"kind": WHOLE, "xml": content}], PIECES)
                     continue
                 about, pieces = found
                 for p in pieces:
-                    row = {"kind": p.kind, "piece": p.number, "first": p.first, "xml": p.xml}
+                    row = {"kind": p.kind, "piece": p.number, "first": p.first, "xml": p.xml, "before": p.before}
                     yield _batch([same | about | row], PIECES)
             except Exception as problem:  # one unreadable upload must not end the job
                 error = _reason(problem)
@@ -131,7 +151,7 @@ def _decode_pieces(batches: Batches) -> Batches:
             strings = {x["id"]: x["text"] for x in p["strings"] or []}
             rows: list[dict] = []
             try:
-                for number, cells in piece_rows(p["xml"], p["first"], strings, set(p["dates"]), p["from_1904"]):
+                for number, cells in piece_rows(p["xml"], p["first"], strings, set(p["dates"]), p["from_1904"], p["before"]):
                     rows.append(about | {"row_idx": number, "cells": cells})
             except Exception as problem:
                 rows.append(same | {"sheet_idx": 0, "row_idx": -1, "error": _reason(problem)})
@@ -175,7 +195,7 @@ def decode_large(files: DataFrame, sheet: str | None = None, size: int = PIECE_B
     uses = rows.select("path", "piece", "xml").mapInArrow(_find_uses, "path string, piece int, id long")
     named = uses.join(table.where("error IS NULL").drop("error"), ["path", "id"])
     strings = named.groupBy("path", "piece").agg(F.collect_list(F.struct("id", "text")).alias("strings"))
-    grid = rows.repartition(tasks, "path", "piece").join(strings, ["path", "piece"], "left").select("path", "modified", "sheet", "sheet_idx", "first", "xml", "dates", "from_1904", "strings").mapInArrow(
+    grid = rows.repartition(tasks, "path", "piece").join(strings, ["path", "piece"], "left").select("path", "modified", "sheet", "sheet_idx", "first", "before", "xml", "dates", "from_1904", "strings").mapInArrow(
         _decode_pieces, S.GRID_SCHEMA
     )
     whole = pieces.where(F.col("kind") == WHOLE).select("path", F.col("modified").alias("modificationTime"), F.col("xml").alias("content"))
@@ -187,6 +207,67 @@ def decode_large(files: DataFrame, sheet: str | None = None, size: int = PIECE_B
     return grid.unionByName(whole).unionByName(ends).unionByName(broken)
 
 
+def _file(path: str):
+    """A file by its path in Spark, to be read at any place; an error if only Spark reaches it."""
+    from pyarrow import fs
+
+    local = re.match("(?:file:)?/+(?!/)", path)
+    files, at = (fs.LocalFileSystem(), "/" + path[local.end() :]) if local else fs.FileSystem.from_uri(path)
+    return files.open_input_file(at)
+
+
+def _list_parts(batches: Batches, wanted: str | None) -> Batches:
+    for files in batches:
+        for f in files.to_pylist():
+            same = {"path": f["path"], "modified": f["modificationTime"]}
+            try:
+                with _file(f["path"]) as file:
+                    rows = [same | part for part in sheet_parts(file, wanted)]
+            except Exception:  # what is wrong with it is told by the way for other workbooks
+                continue
+            yield _batch(rows, PARTS)
+
+
+def written_parts(files: DataFrame, sheet: str | None = None) -> DataFrame | None:
+    """A row for each part in which ``books`` wrote the wanted sheets of the ``files`` and those that go on them.
+
+    Files are opened by tasks, which read a few kilobytes of each. None if there are no such files, or if only
+    Spark reaches the folder.
+    """
+    parts = cut_lineage(files.mapInArrow(lambda batches: _list_parts(batches, sheet), PART_ROWS))
+    return None if parts.isEmpty() else parts
+
+
+def _grid_batch(p: dict, rows: list[tuple[int, list[str | None]]]) -> pa.RecordBatch:
+    n, fields = len(rows), GRID_ROWS
+    same = [pa.array([p[name]] * n, fields.field(name).type) for name in ("path", "modified", "sheet", "sheet_idx")]
+    numbers = pa.array([row for row, _ in rows], pa.int32())
+    cells = pa.array([cells for _, cells in rows], pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([*same, numbers, cells, pa.nulls(n, pa.string())], schema=fields)
+
+
+def _decode_part(batches: Batches) -> Batches:
+    for parts in batches:
+        for p in parts.to_pylist():
+            error = None
+            try:
+                with _file(p["path"]) as file:
+                    rows = part_rows(file, p["at"], p["packed"], p["crc"], p["before"], set(p["dates"]), p["from_1904"])
+                for k in range(0, len(rows), ROWS_PER_BATCH):
+                    yield _grid_batch(p, rows[k : k + ROWS_PER_BATCH])
+            except Exception as problem:
+                error = _reason(problem)
+            if error or p["first"]:  # one end for each workbook
+                end = {"path": p["path"], "modified": p["modified"], "sheet_idx": 0, "row_idx": -1, "error": error}
+                yield _batch([end], GRID_ROWS)
+
+
+def decode_parts(parts: DataFrame) -> DataFrame:
+    """The grid of ``written_parts``: all tasks inflate and decode parts; none reads a sheet or workbook as a whole."""
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(tasks, "path", "at").mapInArrow(_decode_part, S.GRID_SCHEMA)
+
+
 def read_workbooks(
     spark: SparkSession, folder: str, recursive: bool = True, sheet: str | None = None, large: int = LARGE_FILE
 ) -> DataFrame:
