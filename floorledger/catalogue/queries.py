@@ -15,8 +15,8 @@ from floorledger.operators import cleaning, facts, headers, reports, selection,
 from floorledger.plans.load import clean_grid, work_folder
 from floorledger.plans.publish import chart_json, hour_chart, manifest, month_chart
 from floorledger.plans.report_set import generate_reports, prepare_reports
-from floorledger.plans.rollup import report_bundle, stage_facts
-from floorledger.session import cut_lineage
+from floorledger.plans.rollup import FACT_COLUMNS, report_bundle, stage_facts
+from floorledger.session import cut_lineage, staged
 from floorledger.sources import books, history
 from floorledger.sources.grid import pick_sheet, read_workbooks, stage_grid
 from floorledger.streaming.drop_folder import follow_folder
@@ -166,7 +166,7 @@ def routed_rows(spark, sf_dir):
 @register
 def sheet_manifest(spark, sf_dir):
     """Raw grid to report set: the prize sheets' rows cleaned once, then every report of their kind."""
-    return manifest(report_bundle(cut_lineage(canonical(spark, sf_dir, "prizes_grid")), S.PREMIOS))
+    return manifest(report_bundle(staged(canonical(spark, sf_dir, "prizes_grid").select(*FACT_COLUMNS)), S.PREMIOS))
 
 
 @register

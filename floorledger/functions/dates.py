@@ -124,7 +124,8 @@ def parse_day_first(text: Column) -> Column:
     years are ordinary columns and run as generated code. Any other spelling is matched once into parts
     and rebuilt as ISO text for the same cast. Those steps are bound with lambdas and not written as
     nested columns: repeated inside whole-stage code they make one method too large for the JVM to
-    compile, which runs several times slower.
+    compile, which runs several times slower. The empty text, which stands for a column that the sheet does not
+    have, is looked at once.
     """
     low, high = F.lit(EARLIEST).cast("timestamp_ntz"), F.lit(LATEST).cast("timestamp_ntz")
 
@@ -137,8 +138,8 @@ def parse_day_first(text: Column) -> Column:
         return _with(iso(cell).try_cast("timestamp_ntz"), lambda t: F.when(t.between(low, high), t))
 
     day_first = F.regexp_replace(text, NEAR_DAY_FIRST, "$3-$2-$1 $4")
-    plain = F.when(text.rlike(NEAR_ISO), text).when(text.rlike(NEAR_DAY_FIRST), day_first)
-    ladder = F.when(~text.rlike(NEAR_ISO) & ~text.rlike(NEAR_DAY_FIRST), _with(strip(text), moment))
+    plain = F.when(text == "", F.lit(None).cast("string")).when(text.rlike(NEAR_ISO), text).when(text.rlike(NEAR_DAY_FIRST), day_first)
+    ladder = F.when((text != "") & ~text.rlike(NEAR_ISO) & ~text.rlike(NEAR_DAY_FIRST), _with(strip(text), moment))
     return F.coalesce(plain.try_cast("timestamp_ntz"), ladder)
 
 

@@ -17,12 +17,14 @@ from floorledger import schema as S
 from floorledger.operators.facts import CLASS, as_facts, fold
 from floorledger.operators.selection import Selection
 from floorledger.plans.report_set import FactSet, Reports, generate_reports
-from floorledger.session import cut_lineage
+from floorledger.session import staged
 from floorledger.sources.history import scan, store
 from floorledger.sources.versions import Replacement, Snapshot, read_table
 
 PEOPLE_KEYS = ["Tipo", "Mes", "JornadaDia", "Hora", "Attendant", CLASS]
 MACHINE_KEYS = ["Tipo", "Mes", "Maquina", "Attendant", CLASS]
+#: What the facts of canonical rows are made of.
+FACT_COLUMNS = ["Tipo", "Fecha", "JornadaDia", "Mes", "Hora", "Monto", "Attendant", "FormaPago", "Maquina"]
 PEOPLE_TABLE, MACHINE_TABLE = "rollup_people", "rollup_machines"
 PEOPLE_FIELDS = "Tipo string, JornadaDia date, Hora int, Attendant string, Categoria string"
 MACHINE_FIELDS = "Tipo string, Maquina string, Attendant string, Categoria string"
@@ -49,11 +51,11 @@ class StagedFacts(FactSet):
 
     @cached_property
     def people(self) -> DataFrame:
-        return cut_lineage(self.rollups.people)
+        return staged(self.rollups.people)
 
     @cached_property
     def machines(self) -> DataFrame:
-        return cut_lineage(self.rollups.machines) if self.kind == S.PREMIOS else self.rollups.machines
+        return staged(self.rollups.machines) if self.kind == S.PREMIOS else self.rollups.machines
 
 
 def stage_facts(df: DataFrame, kind: str) -> FactSet:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +57,16 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back: what ``cut_lineage`` does, for large frames.
+
+    Parquet is smaller than a checkpoint's rows, and later steps read only the columns they need.
+    """
+    folder = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder."""
     checkpoint_folder(df.sparkSession)

@@ -20,6 +20,8 @@ from floorledger.sources.workbook import (
 
 WORKBOOK_GLOB = "*.[xX][lL][sS][xX]"
 ROWS_PER_BATCH = 4096
+#: Row groups of a staged grid: small, so that tasks share even one file.
+STAGED_GROUP = 8 << 20
 #: Workbooks of more bytes are cut into pieces.
 LARGE_FILE = 8 << 20
 END, WHOLE = "end", "whole"
@@ -295,10 +297,11 @@ def stage_grid(grid: DataFrame, folder: str) -> DataFrame:
     """Write the grid once as parquet and read it back.
 
     Header detection and binding each scan the grid; staging keeps the workbooks from being decoded
-    twice, lets the 30-row header search prune columns and row groups, and cuts the lineage. Rows are dealt
-    evenly, so cleaning does not run in as few tasks as there were workbooks.
+    twice, lets the 30-row header search prune columns and row groups, and cuts the lineage. Files are cut into
+    small row groups, which Spark deals evenly when it reads them, so cleaning does not run in as few tasks as
+    there were workbooks, and the grid is not shuffled.
     """
-    grid.hint("rebalance").write.mode("overwrite").parquet(folder)
+    grid.write.mode("overwrite").option("parquet.block.size", STAGED_GROUP).parquet(folder)
     return grid.sparkSession.read.schema(S.GRID_SCHEMA).parquet(folder)
 
 

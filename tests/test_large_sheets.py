@@ -123,3 +123,17 @@ def test_pieces_are_decoded_by_many_tasks(spark, tmp_path):
     grid = decode_large(files.select("path", "modificationTime", "content"), None, 100_000)
     tasks = grid.where("row_idx >= 0").groupBy(F.spark_partition_id()).count().count()
     assert tasks == 4 and grid.where("row_idx >= 0").count() == 30_001
+
+
+def test_a_staged_grid_is_dealt_to_tasks_without_a_shuffle(spark, tmp_path, monkeypatch):
+    from floorledger.sources import grid as G
+
+    monkeypatch.setattr(G, "STAGED_GROUP", 1 << 20, raising=False)
+    cells = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.sha2(F.concat_ws("-", "id", k), 256))
+    columns = {"path": F.lit("x.xlsx"), "modified": F.lit(None).cast("timestamp"), "sheet": F.lit("Hoja"), "sheet_idx": F.lit(0)}
+    made = spark.range(0, 40_000, 1, 1).withColumns(columns | {"row_idx": F.col("id").cast("int"), "cells": cells, "error": F.lit(None).cast("string")})
+    before = {p.name for p in tmp_path.iterdir()}
+    staged = G.stage_grid(made.select(*[f for f in G.S.GRID_SCHEMA.names]), str(tmp_path / "grid"))
+    assert not before and len(list((tmp_path / "grid").glob("part-*"))) == 1  # one task wrote it
+    rows = staged.groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) > 2 and sum(r["count"] for r in rows) == 40_000
